@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import packing
+from lumenframe.llm import langid, packing, rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": rules.op3,
+        "op6_language_id": langid.op6,
         "op7_best_fit_packing": packing.op7,
+        "op10_toxicity": toxicity.op10,
     }
 
 
