@@ -31,6 +31,8 @@ from lumenframe.llm.common import id_fold, table
 FIT_TEXTS = 3000
 LONGEST_FIT = 30_000
 MOST_ENTRIES = 1500
+#: What an unlabelled row counts against a labelled one.
+UNLABELLED_WEIGHT = 0.2
 SHARES = 12
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = (4, 5, 6, 7)
@@ -39,9 +41,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 # Common insults, by language.
 LEXICONS = {
-    "en": "idiot idiots moron morons stupid dumb loser losers trash garbage scum pathetic worthless disgusting clown clowns fool imbecile jerk bastard bitch asshole fuck fucking shit crap retard slut whore pig vermin filth hate kill die ugly creep coward liar",
+    "en": "idiot idiots moron morons stupid dumb loser losers trash garbage scum pathetic worthless disgusting clown clowns fool imbecile jerk bastard bitch asshole fuck fucking shit crap retard slut whore pig vermin filth hate kill ugly creep coward liar",
     "de": "idiot dumm blöd arschloch scheiße wichser hure fotze abschaum dreck schlampe trottel versager missgeburt hurensohn",
-    "fr": "idiot imbécile con connard connasse salope pute merde débile crétin abruti ordure déchet enculé bâtard",
+    "fr": "idiot imbécile connard connasse salope pute merde débile crétin abruti ordure déchet enculé bâtard",
     "es": "idiota imbécil estúpido estúpida mierda puta puto cabrón basura asqueroso asquerosa gilipollas pendejo zorra maricón escoria",
 }
 
@@ -161,8 +163,12 @@ class LabelModel:
         """start: first posterior of each row; known: rows whose posterior stays near its label."""
         self.prior = min(max(prior, 0.01), 0.99)
         post = start.copy()
+        self.trust = np.where(known, 1.0, UNLABELLED_WEIGHT) if known.any() else np.ones(len(start))
+        if known.any():  # the first estimate is the labelled rows' alone
+            self._estimate(votes[known], post[known], np.ones(known.sum()))
+            post[~known] = self.posterior(votes[~known])
         for _ in range(rounds):
-            self._estimate(votes, post)
+            self._estimate(votes, post, self.trust)
             new = self.posterior(votes)
             new[known] = 0.9 * start[known] + 0.1 * new[known]
             done = np.abs(new - post).max() < 1e-4
@@ -171,15 +177,16 @@ class LabelModel:
                 break
         self.post = post
 
-    def _estimate(self, votes: np.ndarray, post: np.ndarray) -> None:
+    def _estimate(self, votes: np.ndarray, post: np.ndarray, trust: np.ndarray) -> None:
         tables = []
-        for w in (1 - post, post):
+        sides = ((1 - post) * trust, post * trust)
+        for w in sides:
             total = w.sum()
             tables.append(np.stack([((votes == v) * w[:, None]).sum(0) + 0.5 for v in (-1, 0, 1)]) / (total + 1.5))
         self.tables = np.log(np.stack(tables))
         v = votes.astype(float)
         share = np.zeros((votes.shape[1], votes.shape[1]))
-        for w in (1 - post, post):
+        for w in sides:
             mean = (v * w[:, None]).sum(0) / max(w.sum(), 1e-9)
             d = (v - mean) * np.sqrt(w)[:, None]
             cov = d.T @ d / max(w.sum(), 1e-9)
@@ -195,7 +202,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 300) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, trust: np.ndarray, l2: float = 0.5, rounds: int = 600) -> np.ndarray:
     """Weights and a bias, by accelerated gradient descent on soft labels."""
     x1 = np.column_stack([x, np.ones(len(x), np.float32)]).astype(np.float32)
     step = 4.0 / max(1e-9, float((x1.astype(float) ** 2).sum(1).max()))
@@ -204,7 +211,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 300)
     ahead, last = w.copy(), w.copy()
     for k in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ ahead, -30, 30)))
-        g = x1.T @ (p - y).astype(np.float32) / len(x1)
+        g = x1.T @ ((p - y) * trust).astype(np.float32) / len(x1)
         g[:-1] += l2 / len(x1) * ahead[:-1]
         w = ahead - step * g
         ahead = w + k / (k + 3) * (w - last)
@@ -236,7 +243,7 @@ class Classifier:
         start = np.where(known, np.array([float(y) for _, y in labelled] + [0.0] * len(unlabelled)), majority)
         prior = float(np.mean([y for _, y in labelled])) if labelled else 0.1
         self.labels = LabelModel(votes, start, known, prior)
-        self.weights = _logistic(x, self.labels.post)
+        self.weights = _logistic(x, self.labels.post, self.labels.trust)
 
     def score(self, text: str | None) -> float:
         hits, summary, _ = self.features(text, False)
