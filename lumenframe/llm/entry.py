@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import langid, packing, rules, toxicity
+from lumenframe.llm import fingerprints, langid, packing, rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": rules.op3,
         "op6_language_id": langid.op6,
         "op7_best_fit_packing": packing.op7,
+        "op9_fingerprints": fingerprints.op9,
         "op10_toxicity": toxicity.op10,
     }
 
