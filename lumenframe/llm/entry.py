@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import fingerprints, langid, packing, rules, toxicity
+from lumenframe.llm import dedup, fingerprints, langid, packing, rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": dedup.op1,
         "op3_quality_rules": rules.op3,
         "op6_language_id": langid.op6,
         "op7_best_fit_packing": packing.op7,
