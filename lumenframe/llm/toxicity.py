@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import id_fold, table
 
 #: Labelled texts of each class, and unlabelled ones, to fit on; texts longer than LONGEST_FIT characters aren't among them.
-FIT_TEXTS = 3000
+FIT_TEXTS = 2000
 LONGEST_FIT = 30_000
 MOST_ENTRIES = 1500
 #: What an unlabelled row counts against a labelled one.
