@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import dedup, fingerprints, langid, packing, rules, secret_scan, toxicity
+from lumenframe.llm import dedup, fingerprints, langid, packing, pii, rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": secret_scan.op5,
         "op6_language_id": langid.op6,
         "op7_best_fit_packing": packing.op7,
+        "op8_pii_surrogates": pii.op8,
         "op9_fingerprints": fingerprints.op9,
         "op10_toxicity": toxicity.op10,
     }
