@@ -41,14 +41,16 @@ _TITLES = "|".join(f"{TITLES_M} {TITLES_F} {TITLES_U}".split())
 _FIRST = "|".join(f"{FIRST_M} {FIRST_F}".split())
 _NUM = r"(?<![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}"
+_LOCAL = r"A-Za-z0-9._%+\-\u00C0-\uFFDC"
+EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)*\.\p{{L}}{{2,}}"
 PHONE = rf"{_NUM}\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])|{_NUM}\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}(?![0-9])|{_NUM}(?<!-)[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}(?![0-9-])"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.[0-9])"
 SSN = rf"{_NUM}(?<!-)[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}-])"
 CARD = rf"{_NUM}[0-9](?:[ -]?[0-9]){{12,18}}(?![\p{{L}}\p{{N}}])"
 IBAN = rf"{_NUM}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}])"
 NAME = rf"(?<=(?<!\p{{L}})(?:{_TITLES})\.? )\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?|(?<!\p{{L}})(?:{_FIRST}) \p{{Lu}}\p{{Ll}}++"
-PATTERN = "|".join((EMAIL, PHONE, IP, SSN, CARD, IBAN, NAME))
+# What the first character can't begin isn't tried.
+PATTERN = rf"{EMAIL}|(?=[0-9+(])(?:{PHONE}|{IP}|{SSN}|{CARD})|(?=\p{{Lu}})(?:{IBAN}|{NAME})"
 KINDS = ["email", "phone", "ip", "ssn", "card", "iban", "name"]
 _ENTITIES = "array<struct<start:int,end:int,value:string,kind:string,units:array<struct<kind:string,canon:string>>>>"
 
