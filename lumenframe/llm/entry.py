@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import dedup, fingerprints, langid, packing, pii, rules, secret_scan, toxicity
+from lumenframe.llm import dedup, fingerprints, langid, packing, pieces, pii, rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": dedup.op1,
         "op3_quality_rules": rules.op3,
+        "op4_sentencepiece": pieces.op4,
         "op5_secret_scan": secret_scan.op5,
         "op6_language_id": langid.op6,
         "op7_best_fit_packing": packing.op7,
