@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The characters that separate words; everything else belongs to a word.
 WORD_SPACE = r"[\x20\x09-\x0D]"
@@ -49,3 +50,43 @@ def id_fold(col: str | Column, mod: int) -> Column:
     return F.crc32(c.cast("string")) % F.lit(mod)
 
 
+
+
+#: Cells that ids are dealt to for a coarse first choice; the most rows that are broadcast for it.
+COARSE = 1 << 20
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs but for the rows whose id stands in ids (one column of that name).
+
+    Rows in cells that hold none of ids pass without an exchange; the others are joined."""
+    cell = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(COARSE))
+    cells = F.broadcast(ids.select(cell.alias("__cell")).distinct())  # COARSE rows at most
+    marked = docs.withColumn("__cell", cell)
+    sure = marked.join(cells, "__cell", "left_anti")
+    rest = marked.join(cells, "__cell", "left_semi").join(ids.select(id_col).distinct(), id_col, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return sure.select(*columns).unionByName(rest.select(*columns))
+
+
+def beside_text(docs: DataFrame, name: str, fields: str, of, text_col: str = "text", rows: int = 512) -> DataFrame:  # noqa: ANN001
+    """docs with a struct column `name`, made of its whole texts by Python.
+
+    of() is called once for each task and returns a function from a list of texts to a
+    dict of arrays by field; the other columns pass through as they are."""
+    import pyarrow as pa
+
+    columns = list(docs.columns)
+    at = columns.index(text_col)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        make = of()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, rows):
+                b = whole.slice(lo, rows)
+                got = make(b.column(at).to_pylist())
+                new = pa.StructArray.from_arrays([pa.array(v) for v in got.values()], names=list(got))
+                yield pa.RecordBatch.from_arrays([*b.columns, new], [*columns, name])
+
+    schema = StructType([*docs.schema.fields, StructField(name, StructType.fromDDL(fields))])
+    return docs.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import drop_scratch, table, write_scratch
+from lumenframe.llm.common import COARSE, drop_scratch, table, without, write_scratch
 from lumenframe.llm.textblock import mix64, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -43,8 +43,6 @@ SEED = 75
 #: Four and a half standard deviations of the estimate from COORDINATES bits.
 MARGIN = 0.13
 BLOCK = 256
-#: Groups that ids are dealt to for a first, coarse choice of rows; the size of what is broadcast.
-COARSE = 1 << 20
 
 _WINDOWS: list[np.ndarray] = []
 
@@ -276,5 +274,16 @@ def components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of docs (the least doc_id's), as it is; rows without doc_id stay."""
+    found, _ = write_scratch(components(docs.select("doc_id", "text")), "kept")
+    gone = found.where(~F.col("kept")).select("doc_id")
+    out = without(docs, gone)
+    if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    none = out.where(F.col("doc_id").isNull())
+    return none.unionByName(out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import dedup, fingerprints, langid, packing, pieces, pii, rules, secret_scan, toxicity
+from lumenframe.llm import dedup, fingerprints, langid, packing, pieces, pii, quotes, rules, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": dedup.op1,
+        "op2_quotation_linking": quotes.op2,
         "op3_quality_rules": rules.op3,
         "op4_sentencepiece": pieces.op4,
         "op5_secret_scan": secret_scan.op5,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quotation_linking": quotes.SQL}

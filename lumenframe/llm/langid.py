@@ -9,7 +9,8 @@ lowest cross-entropy per character wins. Temperature and rejection limits come f
 labelled documents that the models haven't seen.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and count as
-rejected; a null id is never learned from; without any labelled rows every text is `und`;
+rejected; a null id is never learned from; without any labelled rows every text is `und`,
+and only texts without a letter are rejected;
 rows with equal text get equal answers; ties go to the language first in the alphabet.
 """
 
@@ -17,14 +18,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import id_fold, table
+from lumenframe.llm.common import beside_text, id_fold, table
 from lumenframe.llm.textblock import mix64
 
 #: Labelled texts for each language to fit on and to calibrate on; texts longer than LONGEST_FIT characters aren't among them.
@@ -262,21 +261,30 @@ def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, calibrate_texts: int = CA
     return Classifier(fit, calibrate) if any(_LETTERS.search(t) for _, t in fit) else None
 
 
-def predict(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, entropy (nats a character) and rejected."""
+def annotate(docs: DataFrame, model: Classifier | None, text_col: str = "text") -> DataFrame:
+    """docs with a struct `lang_id`: lang_pred, score, entropy (nats a character), rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of():  # noqa: ANN202
         model = sent.value
-        scorer = Scorer(model.models) if model else None
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                texts = part.column(1).to_pylist()
-                got = model(scorer, texts) if model else (["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got[0], pa.string()), pa.array(got[1]), pa.array(got[2], from_pandas=True), pa.array(got[3])], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+        if model is None:
+            return lambda texts: {"lang_pred": ["und"] * len(texts), "score": np.zeros(len(texts)), "entropy": np.full(len(texts), np.nan), "rejected": [not _LETTERS.search(t or "") for t in texts]}
+        scorer = Scorer(model.models)
+        return lambda texts: dict(zip(("lang_pred", "score", "entropy", "rejected"), model(scorer, texts)))
+
+    return beside_text(docs, "lang_id", "lang_pred: string, score: double, entropy: double, rejected: boolean", of, text_col)
+
+
+def predict(docs: DataFrame, model: Classifier | None) -> DataFrame:
+    """doc_id, lang_pred, score, entropy (null without letters) and rejected."""
+    out = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return out.select("doc_id", "lang_id.*").withColumn("entropy", F.when(~F.isnan("entropy"), F.col("entropy")))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language is told and not rejected, as they are; learned from their own `lang`."""
+    model = train(docs.where(id_fold("doc_id", 3) != 1))
+    return annotate(docs, model).where("not lang_id.rejected").drop("lang_id")
 
 
 def held_out() -> Column:

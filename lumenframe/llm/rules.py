@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import table, write_scratch
+from lumenframe.llm.common import beside_text, table, write_scratch
 from lumenframe.llm.textblock import mix64, word_hashes
 
 #: Labelled rows that the list is fitted on, at most about this many, taken by a hash of the id.
@@ -89,19 +89,20 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def features() -> dict[str, Column]:
-    words, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
-    share = lambda a, b: F.when(b > 0, F.col(a) / b).otherwise(F.lit(0.0)).cast("double")
+def features(prefix: str = "") -> dict[str, Column]:
+    """FEATURES from COUNTS, whose column names begin with prefix."""
+    col = lambda name: F.col(prefix + name)
+    share = lambda a, b: F.when(col(b) > 0, col(a) / col(b)).otherwise(F.lit(0.0)).cast("double")
     return {
-        "n_words": words.cast("double"),
-        "mean_word": share("word_chars", words),
-        "symbol_share": share("n_symbols", chars),
-        "dup_line_share": share("n_dup_lines", lines),
-        "repeat_share": share("n_repeat_words", words),
-        "upper_share": share("n_upper", F.col("n_letters")),
-        "digit_share": share("n_digits", chars),
-        "mark_share": share("n_marks", chars),
-        "line_words": share("n_words", lines),
+        "n_words": col("n_words").cast("double"),
+        "mean_word": share("word_chars", "n_words"),
+        "symbol_share": share("n_symbols", "word_chars"),
+        "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"),
+        "upper_share": share("n_upper", "n_letters"),
+        "digit_share": share("n_digits", "word_chars"),
+        "mark_share": share("n_marks", "word_chars"),
+        "line_words": share("n_words", "n_lines"),
     }
 
 
@@ -183,19 +184,21 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, precision
     return rules
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words, repeats = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+    return (words < 50) | (100 * repeats > 50 * words)
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS) -> list[Rule]:
-    """The list for rows that pass the base, from at most about fit_rows labelled ones."""
+def labelled(labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, bad, fold) of at most about fit_rows labelled ids, chosen by a hash of the id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label_col) < 0.5).alias("bad"))
-    total = known.count()
-    if not total:
-        return []
-    part = min(1.0, fit_rows / total)
+    part = min(1.0, fit_rows / max(1, known.count()))
     spread = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20))
-    chosen = known.where(spread < int(part * (1 << 20)) + 1).withColumn("fold", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(3)))
+    return known.where(spread < int(part * (1 << 20)) + 1).withColumn("fold", F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(3)))
+
+
+def fit(stats: DataFrame, chosen: DataFrame) -> list[Rule]:
+    """The list for rows that pass the base, from the labelled ones (chosen, see labelled())."""
     columns = features()
     rows = stats.where(~base_failed()).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     got = rows.select("bad", "fold", *(c.alias(n) for n, c in columns.items())).toPandas()
@@ -206,19 +209,29 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", fit_row
     return learn({n: got[n].to_numpy(float) for n in columns}, bad, got["fold"].to_numpy())
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], prefix: str = "") -> Column:
     """The number of the first rule that holds, from 1; 0 where none does."""
-    columns = features()
+    columns = features(prefix)
     out = None
     for i, rule in enumerate(rules, 1):
         out = F.when(rule.column(columns), F.lit(i)) if out is None else out.when(rule.column(columns), F.lit(i))
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
+def keep(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that pass the base and the list, as they are."""
+    chosen = labelled(labels, fit_rows=fit_rows)
+    rules = fit(statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")), chosen)  # fit_rows ids
+    fields = ", ".join(f"{c}: long" for c in COUNTS)
+    marked = beside_text(docs, "__stats", fields, lambda: text_counts)
+    good = ~base_failed("__stats.") & (verdict(rules, "__stats.") == 0)
+    return marked.where(good).drop("__stats")
+
+
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Statistics, base_failed, rule (0: none) and kept for each document."""
     stats, _ = write_scratch(statistics(docs), "quality")
-    rules = fit(stats, labels, fit_rows=fit_rows)
+    rules = fit(stats, labelled(labels, fit_rows=fit_rows))
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
