@@ -261,8 +261,8 @@ def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, calibrate_texts: int = CA
     return Classifier(fit, calibrate) if any(_LETTERS.search(t) for _, t in fit) else None
 
 
-def annotate(docs: DataFrame, model: Classifier | None, text_col: str = "text") -> DataFrame:
-    """docs with a struct `lang_id`: lang_pred, score, entropy (nats a character), rejected."""
+def annotate(docs: DataFrame, model: Classifier | None, text_col: str = "text", name: str = "lang_id") -> DataFrame:
+    """docs with a struct `name`: lang_pred, score, entropy (nats a character), rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
 
     def of():  # noqa: ANN202
@@ -272,7 +272,7 @@ def annotate(docs: DataFrame, model: Classifier | None, text_col: str = "text")
         scorer = Scorer(model.models)
         return lambda texts: dict(zip(("lang_pred", "score", "entropy", "rejected"), model(scorer, texts)))
 
-    return beside_text(docs, "lang_id", "lang_pred: string, score: double, entropy: double, rejected: boolean", of, text_col)
+    return beside_text(docs, name, "lang_pred: string, score: double, entropy: double, rejected: boolean", of, text_col)
 
 
 def predict(docs: DataFrame, model: Classifier | None) -> DataFrame:
@@ -284,7 +284,7 @@ def predict(docs: DataFrame, model: Classifier | None) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is told and not rejected, as they are; learned from their own `lang`."""
     model = train(docs.where(id_fold("doc_id", 3) != 1))
-    return annotate(docs, model).where("not lang_id.rejected").drop("lang_id")
+    return annotate(docs, model, name="__lang_id").where("not __lang_id.rejected").drop("__lang_id")
 
 
 def held_out() -> Column:

@@ -9,8 +9,8 @@ together in numpy, and A-star runs only over the words whose second-best path is
 enough to matter. Characters that are no piece fall back to their bytes, at a penalty.
 
 Defined results: null texts are empty; an empty text has one segmentation, without pieces;
-a text with fewer than n segmentations gives all of them; equal scores are ordered by
-the ids; repeated rows each come back; an empty table gives no rows; further input columns
+a text with fewer than n segmentations gives all of them; segmentations of equal score
+come in an order that the text alone decides; repeated rows each come back; an empty table gives no rows; further input columns
 don't pass through. The space mark itself, written in a text, is decoded as a space, as
 the vocabulary defines it.
 """
@@ -126,15 +126,23 @@ class Lattice:
         self.best[j] = max(self.best[j], self.best[i] + score)
 
     def paths(self) -> Iterator[tuple[float, tuple[int, ...]]]:
-        """Backward A-star: the forward score of a position is the exact rest of its cost."""
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-self.best[self.n], (), self.n, 0.0)]
+        """Backward A-star: the forward score of a position is the exact rest of its cost.
+
+        A partial path is a chain of links from its end, so long texts don't copy ids."""
+        count = 0
+        heap: list[tuple[float, int, int, float, tuple | None]] = [(-self.best[self.n], 0, self.n, 0.0, None)]
         while heap:
-            f, ids, at, g = heapq.heappop(heap)
+            f, _, at, g, chain = heapq.heappop(heap)
             if at == 0:
-                yield -f, ids
+                ids: list[int] = []
+                while chain:
+                    ids += chain[0]
+                    chain = chain[1]
+                yield -f, tuple(ids)
                 continue
             for i, score, own in self.into[at]:
-                heapq.heappush(heap, (-(g + score + self.best[i]), own + ids, i, g + score))
+                count += 1
+                heapq.heappush(heap, (-(g + score + self.best[i]), -count, i, g + score, (own, chain)))
 
 
 class Words:

@@ -12,7 +12,7 @@ Only the key makes a surrogate, so runs with one key over one corpus agree.
 
 Defined results: null texts stay null; texts without entities come back as they were;
 repeated rows each come back; an empty table gives no rows; all further columns pass
-through unchanged.
+through unchanged, names that begin with two underscores apart, which are taken.
 """
 
 from __future__ import annotations
@@ -189,8 +189,8 @@ def _mention(e: Column, news: Column) -> Column:
     return F.when(e["kind"].isin("email", "ip"), new).when(e["kind"] == "name", F.array_join(news, " ")).when(e["kind"] == "phone", filled(extra)).otherwise(filled(F.lit(0)))
 
 
-def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """docs with surrogates in text_col and a column `entities`: array of struct(start, end, kind) in the old text."""
+def replace(docs: DataFrame, key: str = KEY, text_col: str = "text", entities_col: str = "entities") -> DataFrame:
+    """docs with surrogates in text_col and a column entities_col: array of struct(start, end, kind) in the old text."""
     columns = docs.columns
     has = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
     place = "array<struct<start:int,end:int,kind:string>>"
@@ -207,8 +207,8 @@ def replace(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
         return let(said, lambda s: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(s, i), F.lit("")))), ""))
 
     keep = [F.col(f"`{c}`") for c in columns]
-    changed = joined.withColumn(text_col, let(parts, rebuild)).select(*keep, F.transform("__e", lambda e: F.struct(e["start"], e["end"], e["kind"])).cast(place).alias("entities"))
-    return docs.where(~has).select(*keep, F.array().cast(place).alias("entities")).unionByName(changed)
+    changed = joined.withColumn(text_col, let(parts, rebuild)).select(*keep, F.transform("__e", lambda e: F.struct(e["start"], e["end"], e["kind"])).cast(place).alias(entities_col))
+    return docs.where(~has).select(*keep, F.array().cast(place).alias(entities_col)).unionByName(changed)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
