@@ -33,8 +33,9 @@ def first_humans(rows: DataFrame, keys: list[str], position: str, n: int = 2) ->
 
 def fused_spans(spans: DataFrame, doc: str, start: str, end: str) -> DataFrame:
     """Spans of a document joined where one starts at most a row after the furthest end so far."""
+    equal = spans.groupBy(doc, start, end).agg(F.count("*").alias("__n"))  # so that the order has no ties
     order = Window.partitionBy(doc).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = (reach.isNull() | (F.col(start) > reach + 1)).cast("int")
     island = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return spans.withColumn("__new", new).withColumn("__i", island).groupBy(doc, "__i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_parts")).drop("__i")
+    return equal.withColumn("__new", new).withColumn("__i", island).groupBy(doc, "__i").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("__n").alias("n_parts")).drop("__i")

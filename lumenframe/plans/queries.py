@@ -357,10 +357,10 @@ def first_two_per_key(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_humans(table(spark, d, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "turn", "role")
 
 
-@query("""WITH s AS (SELECT o_custkey AS doc, (o_orderkey % 97)::BIGINT AS a, (o_orderkey % 97 + o_orderkey % 5)::BIGINT AS b FROM orders),
+@query("""WITH s AS (SELECT o_custkey AS doc, (o_orderkey % 97)::BIGINT AS a, (o_orderkey % 97 + o_orderkey % 5)::BIGINT AS b, count(*) AS c FROM orders GROUP BY ALL),
 x AS (SELECT *, CASE WHEN max(b) OVER w IS NULL OR a > max(b) OVER w + 1 THEN 1 ELSE 0 END AS n FROM s WINDOW w AS (PARTITION BY doc ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 y AS (SELECT *, sum(n) OVER (PARTITION BY doc ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM x)
-SELECT doc, min(a) AS a, max(b) AS b, count(*) AS n_parts FROM y GROUP BY doc, i""")
+SELECT doc, min(a) AS a, max(b) AS b, sum(c)::BIGINT AS n_parts FROM y GROUP BY doc, i""")
 def fused_spans(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     s = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), (k % 97).alias("a"), (k % 97 + k % 5).alias("b"))
