@@ -90,3 +90,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
     )
+
+
+def _sql() -> str:
+    """The same spans in SQL: what look-around asks of a mixed run is asked of the whole run."""
+    patterns = [ASSIGN, ACCESS, HEX, ISSUED, "[A-Za-z0-9+/_-]{32,}"]
+    quoted = ["'" + p.replace("'", "''") + "'" for p in patterns]
+    parts = " UNION ALL ".join(f"SELECT rid, source, {k} AS kind, regexp_extract_all(t, {q}) AS ms, string_split_regex(t, {q}) AS gaps FROM docs WHERE regexp_matches(t, {q})" for k, q in enumerate(quoted))
+    value = "'^[^:=]*?[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$'"
+    names = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS)) + " END"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+lists AS ({parts}),
+each AS (SELECT rid, source, kind, m, g + coalesce(p, 0) AS start FROM (
+  SELECT rid, source, kind, unnest(ms) AS m, generate_subscripts(ms, 1) AS i,
+    unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x))))) AS g,
+    unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ms[1:i - 1], lambda x: length(x))))) AS p FROM lists)),
+valued AS (SELECT *, CASE kind WHEN 0 THEN regexp_extract(m, {value}, 1) ELSE m END AS v FROM each),
+kept AS (SELECT rid, source, kind, start::BIGINT AS start, (start + length(m))::BIGINT AS stop, sha256(v) AS h FROM valued
+  WHERE (kind <> 0 OR length(v) >= 6) AND (kind <> 4 OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')))),
+owned AS (SELECT h, count(DISTINCT coalesce(source, chr(1))) <= {MOST_OWNERS} AS live FROM kept GROUP BY h),
+judged AS (SELECT kept.*, live, {names} || ':' || start || ':' || stop AS said FROM kept JOIN owned USING (h)),
+summed AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS x,
+  string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+  count(*) FILTER (live) AS live, count(*) FILTER (kind < 3 AND NOT live) AS copied FROM judged GROUP BY rid)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(x, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(live, 0)::BIGINT AS n_live, coalesce(copied, 0)::BIGINT AS n_copied FROM docs LEFT JOIN summed USING (rid)"""
+
+
+SQL = _sql()
