@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.metrics import running
+
 
 def stable_rank(seed: int | str, col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -59,11 +61,14 @@ def stratified(rows: DataFrame, id_col: str, strata: list[str], wanted: int, see
 
 
 def tertile_bands(rows: DataFrame, by: str, score: str, id_col: str) -> DataFrame:
-    """rows with band low, mid or high: cuts at n // 3 and 2 n // 3 of each language, so later bands get the remainder."""
-    order = Window.partitionBy(by).orderBy(score, id_col)
-    n = F.count("*").over(Window.partitionBy(by))
-    r = F.row_number().over(order) - 1
-    return rows.withColumn("band", F.when(r < F.floor(n / 3), "low").when(r < F.floor(2 * n / 3), "mid").otherwise("high"))
+    """rows with band low, mid or high: cuts at n // 3 and 2 n // 3 of each language, so later bands get the remainder.
+
+    Ranks come from counts of scores; only rows of one score are ordered among themselves."""
+    counts = running(rows.groupBy(by, score).agg(F.count("*").alias("__n")), score, ["__n"], [by])
+    tied = F.row_number().over(Window.partitionBy(by, score).orderBy(id_col)) - 1
+    ranked = rows.withColumn("__t", tied).join(counts, [by, score])
+    r, n = F.col("__n_upto") - F.col("__n") + F.col("__t"), F.col("__n_all")
+    return ranked.withColumn("band", F.when(r < F.floor(n / 3), "low").when(r < F.floor(2 * n / 3), "mid").otherwise("high")).drop("__t", "__n", "__n_upto", "__n_all")
 
 
 def fill_floors(rows: DataFrame, cells: list[str], least: int, seed: int, id_col: str) -> DataFrame:
@@ -105,3 +110,42 @@ def capped_batch(rows: DataFrame, id_col: str, seed: int, size: int, cap_col: st
     others = phased.where(F.col(cap_col) != cap_value).orderBy("phase", "__h").limit(size)
     taken = capped.unionByName(others).orderBy("phase", "__h").limit(size)
     return taken.drop("__h")
+
+
+def top_up_tags(selected: DataFrame, pool: DataFrame, id_col: str, tags: str, least: int, order: list[Column], donors_last: list[Column]) -> DataFrame:
+    """selected with at least `least` members of each tag that the pool has as many of, tag after tag in order.
+
+    Each swap sees the one before, so this loops on the driver over the tags, dozens at most."""
+    common = pool.select(F.explode(tags).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    for r in sorted(common.select("t").collect()):
+        selected = replace_lowest(selected, pool, id_col, F.array_contains(tags, r["t"]), least, order, donors_last)
+    return selected
+
+
+def review_records(rows: DataFrame, id_col: str, cells: list[str], exact: Column, least: int, size: int, seed: int) -> DataFrame:
+    """All exact matches, then floors of each cell, then the rest, by seeded hash, cut to size."""
+    h = stable_rank(seed, id_col)
+    cell = F.row_number().over(Window.partitionBy(*cells).orderBy(h))
+    phase = F.when(exact, 0).when(cell <= least, 1).otherwise(2)
+    return rows.withColumn("phase", phase).orderBy("phase", h).limit(size)
+
+
+def language_mix(rows: DataFrame, by: str, first: str, size: int, order: list[Column | str]) -> DataFrame:
+    """size // 2 rows of the first language, then others up to size."""
+    a = rows.where(F.col(by) == first).orderBy(*order).limit(size // 2)
+    n = a.count()
+    return a.unionByName(rows.where(F.col(by) != first).orderBy(*order).limit(size - n))
+
+
+def distinct_samples(rows: DataFrame, by: str, question: str, n: int, order: list[Column | str]) -> DataFrame:
+    """The first n rows of each language, no question twice."""
+    one = rows.withColumn("__q", F.row_number().over(Window.partitionBy(question).orderBy(*order))).where("__q = 1").drop("__q")
+    return one.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+
+
+def model_slots(models: list[str], slots: int, spark, salt: str = "") -> DataFrame:  # noqa: ANN001
+    """slot, model: models repeated evenly, what is left over given by seeded hash; sizes are those of a plan."""
+    base, rest = divmod(slots, len(models))
+    given = spark.createDataFrame([(m,) for m in models], "model string").withColumn("__r", F.row_number().over(Window.orderBy(stable_rank(salt or "slots", "model"))))
+    times = given.withColumn("__k", F.lit(base) + (F.col("__r") <= rest).cast("int")).where("__k > 0")
+    return times.select("model", F.explode(F.sequence(F.lit(1), F.col("__k"))).alias("__i")).withColumn("slot", F.row_number().over(Window.orderBy("__i", "model")) - 1).select("slot", "model")

@@ -125,3 +125,35 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.relabelled(labels, spark.createDataFrame([("zz", "AI")], "record string, label string"), "record", "label")
     with pytest.raises(ValueError, match="identity"):
         sinks.reject_identity_columns(df, ["record"])
+
+
+def test_serving(spark):
+    from lumenframe.functions.text import cache_key
+    from lumenframe.operators import sampling
+    from lumenframe.plans.serving import score_submissions
+
+    body = "\n".join(f"        value_{i} = a + {i} * b - value_{i - 1 if i else 'x'}" for i in range(30))
+    code, stub = f"class Solution:\n    def add(self, a, b):\n{body}\n        return value_29\n", "class Solution:\n    def add(self, a, b):\n        pass\n"
+    requests = spark.createDataFrame([(1, code, stub, "q", "PYTHON"), (2, stub, stub, "q", "PYTHON"), (3, code, stub, "zz", "PYTHON"), (4, code, stub, "q", "JAVA"), (5, "", stub, "q", "PYTHON")], "request_id int, raw_code string, boilerplate string, question_id string, language string")
+    bank = spark.createDataFrame([("q", "PYTHON", 0, [1.0, 0.0], "h0"), ("q", "PYTHON", 1, [0.6, 0.8], "h1")], "question_id string, language string, vector_id int, embedding array<double>, stripped_hash string")
+    from lumenframe.functions.code import strip_solution
+
+    stripped = strip_solution(code, stub, "PYTHON")[0]
+    cache = spark.createDataFrame([(stripped, [0.6, 0.8])], "t string, embedding array<double>").select(cache_key(F.lit("m"), F.col("t")).alias("cache_key"), "embedding")
+    got = {r["request_id"]: r for r in score_submissions(requests, bank, cache, "m").collect()}
+    assert got[1]["status"] == "scored" and got[1]["vector_id"] == 1 and got[1]["score"] == pytest.approx(1.0) and got[1]["percent"] == 100 and "100%" in got[1]["card"]
+    assert [got[i]["score"] for i in (2, 3, 4, 5)] == [None] * 4
+    assert got[3]["reason"] == "missing_cluster" and got[4]["reason"] == "unsupported_language" and got[5]["reason"] == "raw_missing"
+    assert [r["model"] for r in sampling.model_slots(["a", "b"], 5, spark).groupBy("model").count().where("count >= 2").orderBy("model").collect()] == ["a", "b"]
+
+
+def test_top_ups(spark):
+    from lumenframe.operators import sampling
+
+    pool = spark.createDataFrame([(i, ["T"] if i % 4 == 0 else ["U"], "HARD" if i % 5 == 0 else "EASY") for i in range(40)], "id int, tags array<string>, d string")
+    start = pool.where("id % 4 <> 0 and id < 20")
+    out = sampling.top_up_tags(start, pool, "id", "tags", 4, [F.col("id")], [F.desc("id")])
+    rows = out.collect()
+    assert len(rows) == 15 and sum(r["tags"] == ["T"] for r in rows) == 4 and len({r["id"] for r in rows}) == 15
+    assert sampling.review_records(pool, "id", ["d"], F.col("id") == 39, 2, 5, 1).where("id = 39").count() == 1
+    assert sampling.language_mix(pool, "d", "HARD", 10, ["id"]).groupBy("d").count().count() == 2
