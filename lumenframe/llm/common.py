@@ -69,15 +69,16 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return sure.select(*columns).unionByName(rest.select(*columns))
 
 
-def beside_text(docs: DataFrame, name: str, fields: str, of, text_col: str = "text", rows: int = 512) -> DataFrame:  # noqa: ANN001
-    """docs with a struct column `name`, made of its whole texts by Python.
+def beside_text(docs: DataFrame, name: str, fields: str, of, text_col: str = "text", rows: int = 512, keep: list[str] | None = None) -> DataFrame:  # noqa: ANN001
+    """docs (or its columns `keep`) with a struct column `name`, made of its whole texts by Python.
 
     of() is called once for each task and returns a function from a list of texts to a
     dict of arrays by field; the other columns pass through as they are."""
     import pyarrow as pa
 
-    columns = list(docs.columns)
-    at = columns.index(text_col)
+    at = docs.columns.index(text_col)
+    kept = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
+    names = [*(docs.columns[i] for i in kept), name]
 
     def run(batches):  # noqa: ANN001, ANN202
         make = of()
@@ -86,7 +87,7 @@ def beside_text(docs: DataFrame, name: str, fields: str, of, text_col: str = "te
                 b = whole.slice(lo, rows)
                 got = make(b.column(at).to_pylist())
                 new = pa.StructArray.from_arrays([pa.array(v) for v in got.values()], names=list(got))
-                yield pa.RecordBatch.from_arrays([*b.columns, new], [*columns, name])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), new], names)
 
-    schema = StructType([*docs.schema.fields, StructField(name, StructType.fromDDL(fields))])
+    schema = StructType([*(docs.schema.fields[i] for i in kept), StructField(name, StructType.fromDDL(fields))])
     return docs.mapInArrow(run, schema)

@@ -261,7 +261,7 @@ def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, calibrate_texts: int = CA
     return Classifier(fit, calibrate) if any(_LETTERS.search(t) for _, t in fit) else None
 
 
-def annotate(docs: DataFrame, model: Classifier | None, text_col: str = "text", name: str = "lang_id") -> DataFrame:
+def annotate(docs: DataFrame, model: Classifier | None, text_col: str = "text", name: str = "lang_id", keep: list[str] | None = None) -> DataFrame:
     """docs with a struct `name`: lang_pred, score, entropy (nats a character), rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fitting sample
 
@@ -272,12 +272,12 @@ def annotate(docs: DataFrame, model: Classifier | None, text_col: str = "text",
         scorer = Scorer(model.models)
         return lambda texts: dict(zip(("lang_pred", "score", "entropy", "rejected"), model(scorer, texts)))
 
-    return beside_text(docs, name, "lang_pred: string, score: double, entropy: double, rejected: boolean", of, text_col)
+    return beside_text(docs, name, "lang_pred: string, score: double, entropy: double, rejected: boolean", of, text_col, keep=keep)
 
 
 def predict(docs: DataFrame, model: Classifier | None) -> DataFrame:
     """doc_id, lang_pred, score, entropy (null without letters) and rejected."""
-    out = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    out = annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, keep=["doc_id"])
     return out.select("doc_id", "lang_id.*").withColumn("entropy", F.when(~F.isnan("entropy"), F.col("entropy")))
 
 
