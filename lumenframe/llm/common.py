@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,20 @@ WORD_SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to Python, at most, but for a longer row.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps batches of long texts small on either side of the pipe to Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.sub(r"\D", "", spark.conf.get(key, None) or "")
+    if not now or int(now) > BATCH_BYTES or int(now) <= 0:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -32,6 +46,7 @@ def write_scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
     The files outlive lost executors. drop_scratch() removes them once nothing reads them."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{scratch_root(spark)}/lumenframe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -76,6 +91,7 @@ def beside_text(docs: DataFrame, name: str, fields: str, of, text_col: str = "te
     dict of arrays by field; the other columns pass through as they are."""
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     kept = [i for i, c in enumerate(docs.columns) if keep is None or c in keep]
     names = [*(docs.columns[i] for i in kept), name]

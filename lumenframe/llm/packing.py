@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import write_scratch
+from lumenframe.llm.common import table, write_scratch
 
 CAPACITY = 2048
 GROUPS = 24
@@ -301,13 +301,13 @@ def segments(classes: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.n
     return {"length": table[:, 0], "rank": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def assign(table: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """table (with doc_id, piece, start, length; written, so that it can be read twice) with sequence_id and offset."""
-    spark = table.sparkSession
-    counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+def assign(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+    """cut (with doc_id, piece, start, length; written, so that it can be read twice) with sequence_id and offset."""
+    spark = cut.sparkSession
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     found = segments(plan_classes(counts, capacity, groups))
     salts = sum(counts.values()) // RANK_GROUP + 32
-    salted = table.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     offsets = sizes.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -315,9 +315,9 @@ def assign(table: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
     ranked = salted.withColumn("__rank", F.row_number().over(within) - 1).join(offsets, ["length", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before", "__salt")
     sent = spark.sparkContext.broadcast(found)  # grows with the capacity, not with the corpus
-    kept = list(table.columns)
+    kept = list(cut.columns)
     names = [*kept, "sequence_id", "offset"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
@@ -338,10 +338,9 @@ def assign(table: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) ->
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, groups: int = GROUPS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its sequence and its place there."""
-    table, _ = write_scratch(pieces(docs, capacity, path, id_col, text_col, with_ids), "pieces")
-    return assign(table, capacity, groups)
+    cut, _ = write_scratch(pieces(docs, capacity, path, id_col, text_col, with_ids), "pieces")
+    return assign(cut, capacity, groups)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    return pack(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
