@@ -130,6 +130,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
                 arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in columns[5]], pa.list_(pa.int64())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        encode.known.clear()  # the worker lives on
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
