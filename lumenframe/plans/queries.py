@@ -434,12 +434,30 @@ def detector_consensus(spark: SparkSession, d: str) -> DataFrame:
     kind, i = F.col("event_type"), F.col("event_id")
     verdict = F.when(kind.isin("click", "view"), "human").when(kind == "purchase", "ai").when(kind == "signup", "mixed").otherwise("error")
     p = F.when(kind.isin("click", "view"), 84.0 + i % 5).when(kind == "purchase", (i % 17).cast("double")).when(kind == "signup", F.lit(50.0))
-    votes = e.select("user_id", verdict.alias("verdict"), p.alias("human_probability"))
+    return _decided(spark, d, e.select("user_id", verdict.alias("verdict"), p.alias("human_probability")))
+
+
+def _decided(spark: SparkSession, d: str, votes: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     records = table(spark, d, "customer").select(k.alias("user_id"), (F.col("c_acctbal") >= -500).alias("raw"), F.when((k % 120 < 60) & (k % 7 == 0), 10).otherwise(100).alias("tokens"))
     return consensus.decide(records, votes, "user_id", F.col("raw"), F.col("tokens")).drop("raw", "tokens")
 
 
+_ALL_VOTES = "v AS (SELECT user_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') OR user_id % 11 = 4 THEN 'error' WHEN user_id % 11 IN (1, 2) THEN 'human' WHEN user_id % 11 = 3 THEN 'ai' WHEN event_type IN ('click', 'view') THEN 'human' WHEN event_type = 'purchase' THEN 'ai' ELSE 'mixed' END AS verdict, CASE WHEN user_id % 11 = 5 AND event_id % 50 > 0 THEN NULL WHEN user_id % 11 IN (1, 2) THEN 85.0 + event_id % 5 WHEN user_id % 11 = 3 THEN event_id % 15 + 0.0 WHEN event_type IN ('click', 'view') THEN 84.0 + event_id % 5 WHEN event_type = 'purchase' THEN event_id % 17 + 0.0 WHEN event_type = 'signup' THEN 50.0 END AS p FROM events)"
+
+
+@query(f"""WITH {_ALL_VOTES}, s AS (SELECT user_id, count_if(verdict <> 'error' AND p IS NOT NULL) AS n, count_if(verdict = 'error') AS e, bool_and(verdict = 'human' AND p >= 85) FILTER (verdict <> 'error' AND p IS NOT NULL) AS h, bool_and(verdict = 'ai' AND 100 - p >= 85) FILTER (verdict <> 'error' AND p IS NOT NULL) AS a FROM v GROUP BY user_id),
+r AS (SELECT c.c_custkey AS user_id, coalesce(s.n, 0) AS n, coalesce(s.e, 0) AS e, h, a, CASE WHEN c_acctbal < -500 THEN 'raw_missing' WHEN c_custkey % 120 < 60 AND c_custkey % 7 = 0 THEN 'too_short' WHEN coalesce(s.n, 0) = 0 AND coalesce(s.e, 0) > 0 THEN 'detector_error' WHEN coalesce(s.n, 0) = 0 THEN 'no_votes' WHEN s.n < 2 THEN 'too_few_votes' END AS reason FROM customer c LEFT JOIN s ON s.user_id = c.c_custkey)
+SELECT user_id, n::BIGINT AS n_responding, e::BIGINT AS n_errors, CASE WHEN reason = 'too_few_votes' THEN 'unsure' WHEN reason IS NOT NULL THEN 'skipped' WHEN h THEN 'human' WHEN a THEN 'ai' ELSE 'unsure' END AS label, reason FROM r""")
+def detector_consensus_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is a vote; a few users' detectors agree, err or are silent."""
+    kind, i, g = F.col("event_type"), F.col("event_id"), F.col("user_id") % 11
+    known = F.coalesce(kind.isin("click", "view", "purchase", "signup"), F.lit(False))
+    verdict = F.when(~known | (g == 4), "error").when(g.isin(1, 2), "human").when(g == 3, "ai").when(kind.isin("click", "view"), "human").when(kind == "purchase", "ai").otherwise("mixed")
+    p = F.when((g == 5) & (i % 50 > 0), F.lit(None)).when(g.isin(1, 2), 85.0 + i % 5).when(g == 3, (i % 15).cast("double")).when(kind.isin("click", "view"), 84.0 + i % 5).when(kind == "purchase", (i % 17).cast("double")).when(kind == "signup", F.lit(50.0))
+    return _decided(spark, d, table(spark, d, "events").select("user_id", verdict.alias("verdict"), p.alias("human_probability")))
+
+
 @query("""WITH s AS (SELECT lang || '|' || source AS stratum, count(*) AS size FROM documents GROUP BY 1), t AS (SELECT sum(size)::BIGINT AS n FROM s), w AS (SELECT least(100, n) AS w FROM t),
 b AS (SELECT stratum, size, (size * w.w) // t.n AS base, (size * w.w) % t.n AS rest FROM s, t, w), k AS (SELECT *, row_number() OVER (ORDER BY (base < size) DESC, rest DESC, stratum DESC) AS k, (SELECT w FROM w) - sum(base) OVER () AS l FROM b)
 SELECT stratum, size, (base + CASE WHEN k <= l AND base < size THEN 1 ELSE 0 END)::BIGINT AS quota FROM k""")
@@ -497,6 +515,12 @@ def bank_intersection(spark: SparkSession, d: str) -> DataFrame:
     return banks.shared_keys(e.where("vec_id < 250"), e.where("vec_id >= 300"), ["label"])
 
 
+@query("SELECT DISTINCT label FROM embeddings WHERE vec_id % 2 = 0 INTERSECT SELECT DISTINCT label FROM embeddings WHERE vec_id % 2 <> 0")
+def bank_intersection_all(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return banks.shared_keys(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 <> 0"), ["label"])
+
+
 @query("""WITH kept AS (SELECT doc_id, lang, text FROM documents WHERE doc_id % 2 = 0 AND source <> 'src5'), new AS (SELECT lang, text, min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 1 GROUP BY lang, text)
 SELECT doc_id, lang FROM kept UNION ALL SELECT doc_id, lang FROM new WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.lang = new.lang AND kept.text = new.text)""")
 def bank_swap(spark: SparkSession, d: str) -> DataFrame:
