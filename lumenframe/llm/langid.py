@@ -10,7 +10,8 @@ labelled documents that the models haven't seen.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and count as
 rejected; a null id is never learned from; without any labelled rows every text is `und`,
-and only texts without a letter are rejected;
+and only texts without a letter are rejected; a length without a limit of its own takes the
+nearest one of its language, then of all languages, then the entropy of even chances;
 rows with equal text get equal answers; ties go to the language first in the alphabet.
 """
 
@@ -35,6 +36,8 @@ DISCOUNT = 0.75
 #: A text is rejected when its cross-entropy lies above the quantile of calibration texts of its language and length, times the slack.
 REJECT_QUANTILE = 0.999
 REJECT_SLACK = 1.25
+#: Lengths are told apart by their log2, up to this one.
+LENGTHS = 40
 MOST_RUNS = 400_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -204,7 +207,8 @@ class Classifier:
             by.setdefault(lang, []).append(text)
         self.models = Models({k: c for k, v in by.items() if (c := _bag(v))})
         self.langs = self.models.langs
-        self.temperature, self.limits = 1.0, {}
+        self.temperature = 1.0
+        self.limits = np.full((len(self.langs), LENGTHS), -self.models.floor)
         known = [(a, t) for a, t in calibrate if a in self.langs]
         if not known:
             return
@@ -219,11 +223,23 @@ class Classifier:
             loss[t] = -(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean()
         self.temperature = min(loss, key=loss.get)
         entropy = -scores[np.arange(len(n)), truth] / np.maximum(n, 1)
+        pooled = self._by_length(entropy, n)
+        if not pooled and len(n):  # fewer than 8 texts of any length
+            pooled = {0: float(entropy.max() * REJECT_SLACK)}
         for j in range(len(self.langs)):
-            for b in range(0, 40):
-                near = (truth == j) & (np.abs(np.log2(np.maximum(n, 1)) - b) <= 1.5)
-                if near.sum() >= 8:
-                    self.limits[j, b] = float(np.quantile(entropy[near], REJECT_QUANTILE) * REJECT_SLACK)
+            own = self._by_length(entropy[truth == j], n[truth == j]) or pooled
+            for b in range(LENGTHS if own else 0):
+                self.limits[j, b] = own[min(own, key=lambda x: (abs(x - b), x))]
+
+    @staticmethod
+    def _by_length(entropy: np.ndarray, n: np.ndarray) -> dict[int, float]:
+        """Limits by log2 of the length, where 8 texts or more are near."""
+        out = {}
+        for b in range(LENGTHS):
+            near = np.abs(np.log2(np.maximum(n, 1)) - b) <= 1.5
+            if near.sum() >= 8:
+                out[b] = float(np.quantile(entropy[near], REJECT_QUANTILE) * REJECT_SLACK)
+        return out
 
     def __call__(self, scorer: Scorer, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         scores, n = scorer(texts)
@@ -237,7 +253,7 @@ class Classifier:
             pred.append(self.langs[j])
             conf[i] = 1 / np.exp(z).sum()
             entropy[i] = -scores[i, j] / n[i]
-            rejected[i] = entropy[i] > self.limits.get((j, round(float(np.log2(n[i])))), np.inf)
+            rejected[i] = entropy[i] > self.limits[j, min(round(float(np.log2(n[i]))), LENGTHS - 1)]
         return pred, conf, entropy, rejected
 
 
