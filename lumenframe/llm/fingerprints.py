@@ -1,8 +1,8 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in Spark expressions.
 
 A sketch keeps every hash of a five-word shingle (A-Z lower-cased) that lies below a fixed
-fraction of the hash range: 1/SCALE, or the whole range for texts of at most WHOLE_WORDS
-words. A sketch at the finer fraction holds the coarser one, so any two can be compared at
+fraction of the hash range: 1/SCALE, or the whole range for texts of at most WHOLE_SHINGLES
+distinct shingles and for those of which the fraction would keep none. A sketch at the finer fraction holds the coarser one, so any two can be compared at
 the coarser, merged by union, and give containment estimates however unequal the texts.
 
 Defined results: null texts are empty; texts without words have an empty sketch, alike
@@ -21,7 +21,7 @@ from lumenframe.llm.common import WORD_SPACE, table
 
 SHINGLE = 5
 SCALE = 8
-WHOLE_WORDS = 128
+WHOLE_SHINGLES = 124
 #: Rows of a range of ids, on average, and ranges at most.
 RANGE_ROWS = 1000
 MOST_RANGES = 1 << 17
@@ -37,18 +37,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), WORD_SPACE + "+"), lambda w: w != "")
 
 
-def sketch(text: Column, scale: int = SCALE, whole_words: int = WHOLE_WORDS) -> Column:
+def sketch(text: Column, scale: int = SCALE, whole_shingles: int = WHOLE_SHINGLES) -> Column:
     """struct(scale int, hashes array<long>): hashes ascending, without repeats."""
     top = (1 << 63) // scale
 
     def of(ws: Column) -> Column:
         n = F.size(ws)
         shingles = F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(SHINGLE))))).when(n > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
-        small = n <= whole_words
-        kept = F.filter(shingles, lambda h: small | (F.shiftrightunsigned(h, 1) < F.lit(top)))
-        return F.struct(F.when(small, F.lit(1)).otherwise(F.lit(scale)).alias("scale"), F.array_sort(F.array_distinct(kept)).alias("hashes"))
+        return F.array_distinct(shingles)
 
-    return let(words(text), of)
+    def scaled(every: Column) -> Column:
+        low = F.when(F.size(every) > whole_shingles, F.filter(every, lambda h: F.shiftrightunsigned(h, 1) < F.lit(top))).otherwise(F.array().cast("array<bigint>"))
+        return let(low, lambda h: F.when(F.size(h) > 0, F.struct(F.lit(scale).alias("scale"), F.array_sort(h).alias("hashes"))).otherwise(F.struct(F.lit(1).alias("scale"), F.array_sort(every).alias("hashes"))))
+
+    return let(let(words(text), of), scaled)
 
 
 def at_scale(s: Column, scale: Column) -> Column:

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from lumenframe.llm import langid
+from lumenframe.llm import fingerprints, langid
 
 
 def test_gibberish_of_any_length_is_rejected():
@@ -22,3 +23,12 @@ def test_gibberish_of_any_length_is_rejected():
     assert not model(scorer, real)[3].any() and model(scorer, odd)[3].all()
     none = langid.Classifier(fit, [])
     assert np.isfinite(none.limits).all() and none(langid.Scorer(none.models), odd)[3].all()
+
+
+def test_repeated_lines_keep_a_sketch(spark):
+    texts = [" ".join([f"line{k}"] * 200) for k in range(60)] + [f"all rights reserved by owner {k} of this\n" * 40 for k in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fingerprints.sketch(F.col("text")).alias("s"))
+    assert all(len(r["s"]["hashes"]) > 0 for r in rows.collect())
+    a, b = rows.select(F.col("i").alias("a"), F.col("s").alias("x")), rows.select(F.col("i").alias("b"), F.col("s").alias("y"))
+    got = a.crossJoin(b).where("a < 60 and b < 60").select("a", "b", fingerprints.likeness(F.col("x"), F.col("y")).alias("n")).collect()
+    assert all((r["n"] == 1) == (r["a"] == r["b"]) for r in got)
