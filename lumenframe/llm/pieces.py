@@ -352,7 +352,7 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None, id_co
                 for doc, text, parts in zip(docs_, texts, seg.learn(texts)):
                     for rank, (score, ids) in enumerate(seg.n_best(parts, n_best), 1):
                         values = np.frombuffer(ids, "<u4")
-                        rows.append((doc, rank, score, len(values), zlib.crc32(ids), values.astype(np.int64) if with_ids else rank > 1 or seg.decode(values) == text))
+                        rows.append((doc, rank, score, len(values), zlib.crc32(ids), values.astype(np.int64) if with_ids else seg.decode(values) == text))
                 columns = list(zip(*rows)) if rows else [()] * 6
                 types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()) if with_ids else pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenframe.llm import fingerprints, langid
+from lumenframe.llm import fingerprints, langid, pieces
 
 
 def test_gibberish_of_any_length_is_rejected():
@@ -32,3 +32,11 @@ def test_repeated_lines_keep_a_sketch(spark):
     a, b = rows.select(F.col("i").alias("a"), F.col("s").alias("x")), rows.select(F.col("i").alias("b"), F.col("s").alias("y"))
     got = a.crossJoin(b).where("a < 60 and b < 60").select("a", "b", fingerprints.likeness(F.col("x"), F.col("y")).alias("n")).collect()
     assert all((r["n"] == 1) == (r["a"] == r["b"]) for r in got)
+
+
+def test_every_rank_is_decoded(spark):
+    docs = spark.createDataFrame([(1, "plain words here"), (2, "a mark \u2581 inside the words")], "doc_id long, text string")
+    got = {(r["doc_id"], r["rank"]): r["round_trip"] for r in pieces.encode(docs, with_ids=False).collect()}
+    texts = dict((r["doc_id"], r["text"]) for r in docs.collect())
+    want = {(r["doc_id"], r["rank"]): pieces._segmenter(pieces.model_path()).decode(np.asarray(r["ids"])) == texts[r["doc_id"]] for r in pieces.encode(docs).collect()}
+    assert got == want and len(got) == 6 and not any(got[2, k] for k in (1, 2, 3)) and got[1, 3]
