@@ -6,7 +6,10 @@ spellings of a number and two mentions of a person stay together. A surrogate co
 keyed hash: digits stay digits, letters stay letters of their script and case, titles and
 first names decide the gender of the new first name, and the punctuation of each mention
 is kept. Units are counted once over the corpus; surrogates that two units share, or that
-are themselves units of the corpus, are drawn again until none is left.
+are themselves units of the corpus, are drawn again until none is left. Addresses and names
+grow with the draw, so that every shape has room; from draw WIDE_DRAW on social-security
+numbers and IP addresses take any leading digit or octet. Numbers keep their shape, so units
+that are more than half of all numbers of it (ROOM) can't have surrogates: an error says so.
 
 Only the key makes a surrogate, so runs with one key over one corpus agree.
 
@@ -24,7 +27,8 @@ from lumenframe.llm.common import drop_scratch, table, write_scratch
 from lumenframe.llm.spans import indexes, let, matches
 
 KEY = "lumenframe"
-MOST_DRAWS = 24
+WIDE_DRAW = 24
+ROOM = {"phone": 10**10, "ssn": 10**9, "ip": 255 * 256 * 256 * 254}
 
 # Titles and first names that tell a gender, and names to replace them with.
 TITLES_M = "Mr Herr Monsieur Señor Signor"
@@ -93,11 +97,13 @@ def _pick(names: str, h: Column) -> Column:
     return F.element_at(F.array(*(F.lit(w) for w in words)), (F.conv(F.substring(h, 1, 12), 16, 10).cast("long") % len(words) + 1).cast("int"))
 
 
-def _syllables(canon: Column, h: Column) -> Column:
-    """A name of three syllables in the script of canon."""
+def _syllables(canon: Column, h: Column, draw: Column) -> Column:
+    """A name of three syllables in the script of canon, and two more for each draw after the first."""
     sets = {"latin": ("bdfgklmnprstvzhj", "aeiouaeiouaeioua"), "cyrillic": ("бвгдзклмнпрстфжш", "аеиоуаеиоуаеиоуа"), "greek": ("βγδζθκλμνπρστφχψ", "αεηιοαεηιοαεηιοα")}
     hexes = "0123456789abcdef"
-    word = lambda a, b: F.concat(*(F.translate(F.substring(h, 13 + i, 1), hexes, (a, b)[i % 2]) for i in range(7)))
+    more = F.least(F.greatest(draw - 1, F.lit(0)) * 4, F.lit(96))
+    letter = lambda i, a, b: F.when(i % 2 == 0, F.translate(F.substring(h, i + 13, F.lit(1)), hexes, a)).otherwise(F.translate(F.substring(h, i + 13, F.lit(1)), hexes, b))
+    word = lambda a, b: F.array_join(F.transform(indexes(more + 7), lambda i: letter(i, a, b)), "")
     made = {k: word(*v) for k, v in sets.items()}
     return F.initcap(F.when(canon.rlike(r"\p{IsCyrillic}"), made["cyrillic"]).when(canon.rlike(r"\p{IsGreek}"), made["greek"]).otherwise(made["latin"]))
 
@@ -135,24 +141,27 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Colu
     def made(h: Column) -> Column:
         number = lambda a, span, base: (F.conv(F.substring(h, a, 6), 16, 10).cast("long") % span + base).cast("string")
         top = F.regexp_extract(canon, r"\.(com|org|net)$", 1)
-        email = F.concat(_shape(F.substring_index(canon, "@", 1), h), F.lit("@"), _shape(F.regexp_extract(canon, r"@([^.]+)", 1), F.reverse(h)), F.lit(".example."), F.when(top == "", "com").otherwise(top))
-        name = lambda names: F.when(draw == 0, F.when(canon.rlike(r"^[\p{IsLatin}]+$"), _pick(names, h)).otherwise(_syllables(canon, h))).otherwise(_syllables(canon, h))
+        email = F.concat(_shape(F.substring_index(canon, "@", 1), h), F.translate(F.substring(h, F.lit(41), draw * 4), "0123456789abcdef", "aeioubdglmnprstv"), F.lit("@"), _shape(F.regexp_extract(canon, r"@([^.]+)", 1), F.reverse(h)), F.lit(".example."), F.when(top == "", "com").otherwise(top))
+        name = lambda names: F.when(draw == 0, F.when(canon.rlike(r"^[\p{IsLatin}]+$"), _pick(names, h)).otherwise(_syllables(canon, h, draw))).otherwise(_syllables(canon, h, draw))
         return (
-            F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", number(1, 15, 240), number(9, 256, 0), number(17, 256, 0), number(25, 254, 1)))
-            .when(kind == "phone", _shape(canon, h)).when(kind == "card", _checked(canon, _shape(canon, h, 1))).when(kind == "ssn", F.concat(F.lit("9"), F.substring(_shape(canon, h), 2, 8)))
+            F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", F.when(draw < WIDE_DRAW, number(1, 15, 240)).otherwise(number(1, 255, 1)), number(9, 256, 0), number(17, 256, 0), number(25, 254, 1)))
+            .when(kind == "phone", _shape(canon, h)).when(kind == "card", _checked(canon, _shape(canon, h, 1))).when(kind == "ssn", F.concat(F.when(draw < WIDE_DRAW, F.lit("9")).otherwise(F.substring(_shape(canon, h), 1, 1)), F.substring(_shape(canon, h), 2, 8)))
             .when(kind == "iban", _shape(canon, h, 2)).when(kind == "first_m", name(NEW_M)).when(kind == "first_f", name(NEW_F)).when(kind == "first_u", name(NEW_U)).otherwise(name(NEW_SURNAMES))
         )
 
     return let(h, made)
 
 
-def assign(units: DataFrame, key: str = KEY, most_draws: int = MOST_DRAWS) -> tuple[DataFrame, list[str]]:
+def assign(units: DataFrame, key: str = KEY) -> tuple[DataFrame, list[str]]:
     """(kind, canon, new) for distinct units: new differs for different units of a kind and from every unit of the corpus."""
     spark = units.sparkSession
     real, real_path = write_scratch(units.select("kind", "canon").distinct(), "units")
+    for r in real.where(F.col("kind").isin(*ROOM)).groupBy("kind").count().collect():
+        if 2 * r["count"] > ROOM[r["kind"]]:
+            raise ValueError(f"{r['count']} units of kind {r['kind']} are more than half of all numbers of their shape")
     draw = real.withColumn("draw", F.lit(0))
     paths: list[str] = []
-    for _ in range(most_draws):
+    while True:
         now, path = write_scratch(draw.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key)), "drawn")
         drawn = now.withColumn("low", F.lower("new"))
         first = drawn.groupBy("kind", "low").agg(F.min(F.struct("draw", "canon"))["canon"].alias("winner"))
@@ -168,7 +177,6 @@ def assign(units: DataFrame, key: str = KEY, most_draws: int = MOST_DRAWS) -> tu
             drop_scratch(spark, real_path)
             return now.select("kind", "canon", "new"), paths
         draw = now.join(again, ["kind", "canon"], "left").select("kind", "canon", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"))
-    raise ValueError(f"surrogates still collide after {most_draws} draws")
 
 
 def _mention(e: Column, news: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenframe.llm import fingerprints, langid, pieces
+from lumenframe.llm import fingerprints, langid, pieces, pii
 
 
 def test_gibberish_of_any_length_is_rejected():
@@ -40,3 +40,11 @@ def test_every_rank_is_decoded(spark):
     texts = dict((r["doc_id"], r["text"]) for r in docs.collect())
     want = {(r["doc_id"], r["rank"]): pieces._segmenter(pieces.model_path()).decode(np.asarray(r["ids"])) == texts[r["doc_id"]] for r in pieces.encode(docs).collect()}
     assert got == want and len(got) == 6 and not any(got[2, k] for k in (1, 2, 3)) and got[1, 3]
+
+
+def test_shapes_have_room_for_every_unit(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    units = [("email", f"{a}@{b}.{e}") for a in letters for b in letters for e in ("com", "de")] + [("email", f"{a}@{b}.{e}") for a in range(10) for b in range(10) for e in ("com", "fr", "net")] + [("email", f"-@-.{a}{b}") for a in letters for b in letters[:5]]
+    rows = pii.assign(spark.createDataFrame(units, "kind string, canon string"))[0].collect()
+    new = {r["new"] for r in rows}
+    assert len(rows) == len(new) == len(units) and not new & {u for _, u in units}
