@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("language ID", language), ("MinHash near-dedup", near_dedup), ("PII", private), ("best-fit packing", packed)]
 
-#: Learned rules, language models and token ids are beyond SQL; tests/llm checks run() against brute force.
+#: Learned rules, language models and token ids are beyond SQL; tests/llm checks operators by themselves, and of run() only that rows come out.
 ORACLE_SQL = None
 
 
