@@ -33,9 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lumenframe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -65,8 +67,6 @@ def id_fold(col: str | Column, mod: int) -> Column:
     return F.crc32(c.cast("string")) % F.lit(mod)
 
 
-
-
 #: Cells that ids are dealt to for a coarse first choice; the most rows that are broadcast for it.
 COARSE = 1 << 20
 
@@ -84,6 +84,29 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return sure.select(*columns).unionByName(rest.select(*columns))
 
 
+#: Keys with more than 1/HEAVY of all rows are heavy, so there are fewer than HEAVY of them.
+HEAVY = 4096
+
+
+def join_spread(rows: DataFrame, one: DataFrame, keys: list[str], counts: DataFrame, n_col: str, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to `one`, which has a row for each key at most; counts gives the rows of each key.
+
+    Heavy keys are split: their rows are salted by the columns `by`, and their row of `one`
+    is repeated for each salt, so that no salted key has more than 1/HEAVY of all rows."""
+    total = counts.agg(F.sum(n_col)).first()[0] or 1
+    heavy = F.broadcast(counts.where(F.col(n_col) * HEAVY > total).select(*keys, F.ceil(F.col(n_col) * HEAVY / total).cast("int").alias("__k")))  # fewer than HEAVY rows
+    salted = rows.join(heavy, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), F.coalesce("__k", F.lit(1))).cast("int")).drop("__k")
+    each = one.join(heavy, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1))).drop("__k")
+    return salted.join(each, [*keys, "__salt"], how).drop("__salt")
+
+
+def met_by(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of big whose keys stand in small; rows in cells that hold none of small aren't shuffled."""
+    cell = F.pmod(F.xxhash64(*keys), F.lit(COARSE))
+    cells = F.broadcast(small.select(cell.alias("__cell")).distinct())  # COARSE rows at most
+    return big.withColumn("__cell", cell).join(cells, "__cell", "left_semi").drop("__cell").join(small.select(*keys), keys, "left_semi")
+
+
 def beside_text(docs: DataFrame, name: str, fields: str, of, text_col: str = "text", rows: int = 512, keep: list[str] | None = None) -> DataFrame:  # noqa: ANN001
     """docs (or its columns `keep`) with a struct column `name`, made of its whole texts by Python.
 

@@ -28,8 +28,8 @@ from lumenframe.llm.common import drop_scratch, table, write_scratch
 from lumenframe.llm.spans import let
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Leading quote marks, each maybe with spaces before it.
-MARKS = r"^(?:[\x20\t]*>)+"
+#: Leading quote marks, each maybe with spaces before it; one class, as a repeated group would need stack for each mark.
+MARKS = r"^[\x20\t>]*>"
 
 
 def lines(text: Column) -> Column:
@@ -57,7 +57,7 @@ def unquoted(parsed: Column) -> Column:
     """The own lines; line breaks that only surrounded quotes go."""
     own = F.array_join(F.transform(F.filter(parsed, lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     has = F.exists(parsed, lambda x: x["level"] > 0)
-    return F.when(has, F.regexp_replace(own, r"^\n+|\n+$", "")).otherwise(own)
+    return F.when(has, F.btrim(own, F.lit("\n"))).otherwise(own)
 
 
 def link(messages: DataFrame) -> DataFrame:
