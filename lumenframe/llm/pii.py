@@ -2,16 +2,19 @@
 
 Entities are found by one pattern. Each is broken into units (the digits of a number, an
 address, a first name, a surname); equal units get equal surrogates everywhere, so two
-spellings of a number and two mentions of a person stay together. A surrogate comes from a
-keyed hash: digits stay digits, letters stay letters of their script and case, titles and
-first names decide the gender of the new first name, and the punctuation of each mention
-is kept. Units are counted once over the corpus; surrogates that two units share, or that
-are themselves units of the corpus, are drawn again until none is left. Addresses and names
-grow with the draw, so that every shape has room; from draw WIDE_DRAW on social-security
-numbers and IP addresses take any leading digit or octet. Numbers keep their shape, so units
-that are more than half of all numbers of it (ROOM) can't have surrogates: an error says so.
-
-Only the key makes a surrogate, so runs with one key over one corpus agree.
+spellings of a number and two mentions of a person stay together. A surname that a text
+gives after a title or a first name is an entity wherever it stands alone in that text. A
+surrogate comes from a keyed hash: digits stay digits, letters stay letters of their script
+and case, titles and first names decide the gender of the new first name, and the punctuation
+of each mention is kept. Units are counted once over the corpus; those whose surrogates are
+shared, or are themselves units of the corpus, are drawn again until none is left. Addresses
+and names grow with the draw, so that every shape has room; from draw WIDE_DRAW on
+social-security numbers and IP addresses take any leading digit or octet. Numbers keep their
+shape, so units that are more than half of all numbers of it (ROOM) can't have surrogates: an
+error says so.
+
+Only the key makes a surrogate, so runs with one key over one corpus agree. The key comes
+from the setting KEY_CONF; without it a session draws a random one.
 
 Defined results: null texts stay null; texts without entities come back as they were;
 repeated rows each come back; an empty table gives no rows; all further columns pass
@@ -20,13 +23,15 @@ through unchanged, names that begin with two underscores apart, which are taken.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import drop_scratch, table, write_scratch
-from lumenframe.llm.spans import indexes, let, matches
+from lumenframe.llm.common import drop_scratch, join_spread, met_by, table, write_scratch
+from lumenframe.llm.spans import indexes, let, matches, running
 
-KEY = "lumenframe"
+KEY_CONF = "spark.lumenframe.pii.key"
 WIDE_DRAW = 24
 ROOM = {"phone": 10**10, "ssn": 10**9, "ip": 255 * 256 * 256 * 254}
 
@@ -46,7 +51,8 @@ _FIRST = "|".join(f"{FIRST_M} {FIRST_F}".split())
 _NUM = r"(?<![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _LOCAL = r"A-Za-z0-9._%+\-\u00C0-\uFFDC"
-EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)*\.\p{{L}}{{2,}}"
+# labels are one class, as a repeated group would need stack for each label
+EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]++@[\p{{L}}\p{{N}}-][\p{{L}}\p{{N}}.-]*\.\p{{L}}{{2,}}"
 PHONE = rf"{_NUM}\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])|{_NUM}\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}(?![0-9])|{_NUM}(?<!-)[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}(?![0-9-])"
 IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}]|\.[0-9])"
 SSN = rf"{_NUM}(?<!-)[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}-])"
@@ -55,8 +61,10 @@ IBAN = rf"{_NUM}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3
 NAME = rf"(?<=(?<!\p{{L}})(?:{_TITLES})\.? )\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?|(?<!\p{{L}})(?:{_FIRST}) \p{{Lu}}\p{{Ll}}++"
 # What the first character can't begin isn't tried.
 PATTERN = rf"{EMAIL}|(?=[0-9+(])(?:{PHONE}|{IP}|{SSN}|{CARD})|(?=\p{{Lu}})(?:{IBAN}|{NAME})"
+#: Where a text names someone, words that may be a surname alone are matched too.
+WITH_BARE = rf"{PATTERN}|(?<!\p{{L}})(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}++(?!\p{{L}})"
 KINDS = ["email", "phone", "ip", "ssn", "card", "iban", "name"]
-_ENTITIES = "array<struct<start:int,end:int,value:string,kind:string,units:array<struct<kind:string,canon:string>>>>"
+_ENTITIES = "array<struct<before:string,start:int,end:int,value:string,kind:string,units:array<struct<kind:string,canon:string>>>>"
 
 
 def _kind(v: Column) -> Column:
@@ -84,12 +92,18 @@ def _units(kind: Column, v: Column, before: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """array<struct(start, end, value, kind, units)> of a text."""
+    """array<struct(before, start, end, value, kind, units)> of a text; a word of kind "bare" counts where its text names that person."""
 
-    def one(m: Column) -> Column:
-        return let(_kind(m["value"]), lambda k: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), k.alias("kind"), _units(k, m["value"], m["before"]).alias("units")))
+    def one(m: Column, bare: bool) -> Column:
+        kind = _kind(m["value"])
+        if bare:
+            title = F.regexp_extract(m["before"], rf"(?<!\p{{L}})(?:{_TITLES})\.? $", 0)
+            kind = F.when(m["value"].rlike(r"^\p{Lu}\p{Ll}+$") & (title == ""), "bare").otherwise(kind)
+        units = lambda k: F.when(k == "bare", F.array(F.struct(k.alias("kind"), F.lower(m["value"]).alias("canon")))).otherwise(_units(k, m["value"], m["before"]))
+        return let(kind, lambda k: F.struct(m["before"].alias("before"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), k.alias("kind"), units(k).alias("units")))
 
-    return F.transform(matches(text, PATTERN), one).cast(_ENTITIES)
+    found = lambda pattern, bare: F.transform(matches(text, pattern), lambda m: one(m, bare)).cast(_ENTITIES)
+    return F.when(text.rlike(NAME), found(WITH_BARE, True)).otherwise(found(PATTERN, False))
 
 
 def _pick(names: str, h: Column) -> Column:
@@ -135,7 +149,7 @@ def _checked(canon: Column, drawn: Column) -> Column:
     return F.when(_luhn(canon) == 0, let(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))).otherwise(drawn)
 
 
-def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string")).cast("binary"), 512)
 
     def made(h: Column) -> Column:
@@ -152,31 +166,42 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Colu
     return let(h, made)
 
 
-def assign(units: DataFrame, key: str = KEY) -> tuple[DataFrame, list[str]]:
-    """(kind, canon, new) for distinct units: new differs for different units of a kind and from every unit of the corpus."""
+def key_of(spark: SparkSession) -> str:
+    """The key in KEY_CONF; where none is set, a random one for the rest of the session."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, key)
+    return key
+
+
+def assign(units: DataFrame, key: str | None = None) -> tuple[DataFrame, list[str]]:
+    """(kind, canon, uses, new) for units: new differs for different units of a kind and from every unit of the corpus.
+
+    A round draws for the units that are left, keeps what meets neither a unit, nor an
+    earlier round's surrogate, nor one of its own that goes to another unit."""
     spark = units.sparkSession
-    real, real_path = write_scratch(units.select("kind", "canon").distinct(), "units")
+    key = key or key_of(spark)
+    real, real_path = write_scratch(units.groupBy("kind", "canon").agg(F.count("*").alias("uses")), "units")
     for r in real.where(F.col("kind").isin(*ROOM)).groupBy("kind").count().collect():
         if 2 * r["count"] > ROOM[r["kind"]]:
             raise ValueError(f"{r['count']} units of kind {r['kind']} are more than half of all numbers of their shape")
-    draw = real.withColumn("draw", F.lit(0))
-    paths: list[str] = []
+    taken = real.select("kind", F.lower("canon").alias("low"))
+    left, done, paths, spare = real.withColumn("draw", F.lit(0)), None, [real_path], []
     while True:
-        now, path = write_scratch(draw.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key)), "drawn")
-        drawn = now.withColumn("low", F.lower("new"))
-        first = drawn.groupBy("kind", "low").agg(F.min(F.struct("draw", "canon"))["canon"].alias("winner"))
-        shared = drawn.join(first, ["kind", "low"]).select("kind", "canon", (F.col("winner") != F.col("canon")).alias("lost"))
-        taken = real.select("kind", F.lower("canon").alias("low"))
-        meets = drawn.select("kind", "canon", "low").join(taken, ["kind", "low"], "left_semi").select("kind", "canon")
-        again = shared.where("lost").select("kind", "canon").union(meets).distinct().withColumn("again", F.lit(1))
-        again, again_path = write_scratch(again, "again")
-        if paths:
-            drop_scratch(spark, *paths)
-        paths = [path, again_path]
-        if again.isEmpty():
-            drop_scratch(spark, real_path)
-            return now.select("kind", "canon", "new"), paths
-        draw = now.join(again, ["kind", "canon"], "left").select("kind", "canon", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"))
+        now, path = write_scratch(left.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key)).withColumn("low", F.lower("new")), "drawn")
+        winner = now.groupBy("kind", "low").agg(F.min("canon").alias("canon"))
+        lows = now.select("kind", "low").distinct()
+        meets = met_by(taken if done is None else taken.unionByName(done.select("kind", "low")), lows, ["kind", "low"]).distinct()
+        fine, fine_path = write_scratch(now.join(winner, ["kind", "low", "canon"], "left_semi").join(meets, ["kind", "low"], "left_anti").select("kind", "canon", "uses", "new", "low"), "fine")
+        done = fine if done is None else done.unionByName(fine)
+        paths.append(fine_path)
+        rest, rest_path = write_scratch(now.join(fine, ["kind", "canon"], "left_anti").select("kind", "canon", "uses", (F.col("draw") + 1).alias("draw")), "again")
+        drop_scratch(spark, path, *spare)
+        left, spare = rest, [rest_path]
+        if rest.isEmpty():
+            drop_scratch(spark, rest_path)
+            return done.drop("low"), paths
 
 
 def _mention(e: Column, news: Column) -> Column:
@@ -197,25 +222,37 @@ def _mention(e: Column, news: Column) -> Column:
     return F.when(e["kind"].isin("email", "ip"), new).when(e["kind"] == "name", F.array_join(news, " ")).when(e["kind"] == "phone", filled(extra)).otherwise(filled(F.lit(0)))
 
 
-def replace(docs: DataFrame, key: str = KEY, text_col: str = "text", entities_col: str = "entities") -> DataFrame:
+def replace(docs: DataFrame, key: str | None = None, text_col: str = "text", entities_col: str = "entities") -> DataFrame:
     """docs with surrogates in text_col and a column entities_col: array of struct(start, end, kind) in the old text."""
     columns = docs.columns
     has = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
     place = "array<struct<start:int,end:int,kind:string>>"
-    found, _ = write_scratch(docs.where(has).withColumn("__e", entities(F.col(text_col))).withColumn("__uid", F.monotonically_increasing_id()), "pii")
-    each = found.select("__uid", F.posexplode("__e").alias("p", "e")).select("__uid", "p", F.posexplode("e.units").alias("u", "unit")).select("__uid", "p", "u", "unit.kind", "unit.canon")
-    new, _ = assign(each, key)
-    mapped = each.join(new, ["kind", "canon"]).groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("p", "u", "new"))).alias("__new"))  # of one text
+    others = [F.col(f"`{c}`") for c in columns if c != text_col]
+    found = docs.where(has).withColumn("__e", entities(F.col(text_col))).withColumn("__tail", F.substring(F.col(text_col), F.element_at("__e", -1)["end"] + 1, F.length(text_col)))
+    found, _ = write_scratch(found.select(*others, "__e", "__tail").withColumn("__uid", F.monotonically_increasing_id()), "pii")
+    each = found.select("__uid", F.posexplode("__e.units").alias("p", "units")).select("__uid", "p", F.posexplode("units").alias("u", "unit")).select("__uid", "p", "u", "unit.kind", "unit.canon")
+    named = each.where("kind = 'surname'").select("__uid", "canon", F.lit(True).alias("__named")).distinct()
+    bare = each.where("kind = 'bare'").join(named, ["__uid", "canon"], "left").withColumn("kind", F.when(F.col("__named"), "surname"))
+    units, units_path = write_scratch(each.where("kind != 'bare'").unionByName(bare.drop("__named")), "mentions")
+    new, paths = assign(units.where(F.col("kind").isNotNull()), key)
+    drawn = join_spread(units, new.select("kind", "canon", "new"), ["kind", "canon"], new, "uses", ["__uid", "p"], "left")
+    mapped = drawn.groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("p", "u", "new"))).alias("__new"))  # of one text, a row for each unit
     joined = found.join(mapped, "__uid")
-    parts = F.struct(F.split(F.col(text_col), PATTERN, -1).alias("gaps"), F.col("__e").alias("e"), F.col("__new").alias("new"))
 
     def rebuild(p: Column) -> Column:
-        news = lambda i: F.transform(F.filter(p["new"], lambda x: x["p"] == i), lambda x: x["new"])
-        said = F.transform(p["e"], lambda e, i: _mention(e, news(i)))
-        return let(said, lambda s: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(s, i), F.lit("")))), ""))
+        """Every entity after the text before it; the first of its units stands at its running sum of them."""
+
+        def said(at: Column) -> Column:
+            news = lambda e, i: F.transform(e["units"], lambda _, j: F.get(p["new"], F.get(at, i) + j)["new"])
+            return F.transform(p["e"], lambda e, i: let(news(e, i), lambda n: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.when(e["kind"] == "bare", F.when(F.get(n, F.lit(0)).isNotNull(), "name")).otherwise(e["kind"]).alias("kind"), F.concat(e["before"], F.when(e["kind"] == "bare", F.coalesce(F.get(n, F.lit(0)), e["value"])).otherwise(_mention(e, n))).alias("said"))))
+
+        return let(running(F.transform(p["e"], lambda e: F.size(e["units"]))), said)
 
     keep = [F.col(f"`{c}`") for c in columns]
-    changed = joined.withColumn(text_col, let(parts, rebuild)).select(*keep, F.transform("__e", lambda e: F.struct(e["start"], e["end"], e["kind"])).cast(place).alias(entities_col))
+    made = joined.withColumn("__said", let(F.struct(F.col("__e").alias("e"), F.col("__new").alias("new")), rebuild))
+    kept = F.filter("__said", lambda e: e["kind"].isNotNull())
+    changed = made.withColumn(text_col, F.concat(F.array_join(F.transform("__said", lambda e: e["said"]), ""), F.col("__tail")))
+    changed = changed.select(*keep, F.transform(kept, lambda e: F.struct(e["start"], e["end"], e["kind"])).cast(place).alias(entities_col))
     return docs.where(~has).select(*keep, F.array().cast(place).alias(entities_col)).unionByName(changed)
 
 
