@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import table, write_scratch
+from lumenframe.llm.common import join_spread, table, write_scratch
 from lumenframe.llm.spans import let, matches
 
 #: A value held by at most so many owners, and repositories, looks live.
@@ -28,8 +28,8 @@ ASSIGN_VALUE = r"^[^:=]*?[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
 # A run is the longest there is, so the least length can stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Formats of issued credentials.
-ISSUED = r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|sk_(?:live|test)_[A-Za-z0-9]{16,}"
+#: Formats of issued credentials. The first part of a token is bounded, so that many beginnings in one run cost little.
+ISSUED = r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,900}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|sk_(?:live|test)_[A-Za-z0-9]{16,}"
 #: Runs of 32 or more that mix capitals, small letters and digits.
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,}"
 KINDS = ["assign", "access", "hex", "issued", "mixed"]
@@ -68,9 +68,10 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, most_owners: int = MOST_OWNERS, **columns: str) -> DataFrame:
     """Candidates with `spans`: array of struct(start, kind, end, hash, live), base ones all, others where they look live."""
     found, _ = write_scratch(candidates(docs, **columns).withColumn("uid", F.monotonically_increasing_id()), "secrets")
-    live = ownership(found).select("hash", ((F.col("owners") <= most_owners) & (F.col("repos") <= most_owners)).alias("live"))
+    owned, _ = write_scratch(ownership(found), "owned")
+    live = owned.select("hash", ((F.col("owners") <= most_owners) & (F.col("repos") <= most_owners)).alias("live"))
     each = found.select("uid", F.explode(F.concat("base", "extra")).alias("s")).select("uid", "s.*")
-    judged = each.join(live, "hash").where((F.col("kind") < 3) | F.col("live"))
+    judged = join_spread(each, live, ["hash"], owned, "uses", ["uid", "start"]).where((F.col("kind") < 3) | F.col("live"))
     spans = judged.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "live"))).alias("spans"))  # of one text
     none = F.array().cast("array<struct<start:int,kind:int,end:int,hash:string,live:boolean>>")
     return found.join(spans, "uid", "left").withColumn("spans", F.coalesce("spans", none))
