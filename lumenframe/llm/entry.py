@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": dedup.SQL, "op2_quotation_linking": quotes.SQL, "op5_secret_scan": secret_scan.SQL}
+    return {"op1_minhash_dedup": dedup.SQL, "op2_quotation_linking": quotes.SQL, "op5_secret_scan": secret_scan.SQL, "op9_fingerprints": fingerprints.SQL}

@@ -1,9 +1,12 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in Spark expressions.
 
-A sketch keeps every hash of a five-word shingle (A-Z lower-cased) that lies below a fixed
-fraction of the hash range: 1/SCALE, or the whole range for texts of at most WHOLE_SHINGLES
-distinct shingles and for those of which the fraction would keep none. A sketch at the finer fraction holds the coarser one, so any two can be compared at
-the coarser, merged by union, and give containment estimates however unequal the texts.
+A shingle's hash is the first 16 hex digits of the MD5 of its five words (A-Z lower-cased,
+a space between them). A sketch keeps every hash below a fixed fraction of the hash range,
+1/8, whatever the length of the text, and never fewer than the FLOOR least ones, so short
+texts are told apart too. The bound of a sketch is the fraction, the last hash kept, or
+nothing where all are kept. Below the smaller of two bounds both sketches are complete, so
+any two can be compared there, merged by union, and give containment estimates however
+unequal the texts.
 
 Defined results: null texts are empty; texts without words have an empty sketch, alike
 (1) only to each other; fewer than five words make one shingle; a text is alike to itself
@@ -18,56 +21,59 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import WORD_SPACE, table
+from lumenframe.llm.spans import let
 
 SHINGLE = 5
-SCALE = 8
-WHOLE_SHINGLES = 124
-#: Rows of a range of ids, on average, and ranges at most.
+#: Hashes that begin below this digit of 0-9a-f are kept: two of sixteen.
+FRACTION = "2"
+FLOOR = 64
+#: A bound above every hash.
+EVERYTHING = "g"
+#: Rows of a range of ids, on average; ranges at most (a row each on the driver and broadcast), and parts that a range is cut into at once.
 RANGE_ROWS = 1000
 MOST_RANGES = 1 << 17
+PARTS = 1 << 12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def let(value: Column, use) -> Column:  # noqa: ANN001
-    """use(value), with value evaluated once for each row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), WORD_SPACE + "+"), lambda w: w != "")
 
 
-def sketch(text: Column, scale: int = SCALE, whole_shingles: int = WHOLE_SHINGLES) -> Column:
-    """struct(scale int, hashes array<long>): hashes ascending, without repeats."""
-    top = (1 << 63) // scale
+def _hash(said: Column) -> Column:
+    return F.substring(F.md5(said.cast("binary")), 1, 16)
+
+
+def sketch(text: Column, floor: int = FLOOR) -> Column:
+    """struct(bound string, hashes array<string>): hashes ascending, without repeats, all below the bound."""
 
     def of(ws: Column) -> Column:
         n = F.size(ws)
-        shingles = F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(SHINGLE))))).when(n > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
-        return F.array_distinct(shingles)
+        shingles = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: _hash(F.concat_ws(" ", *(F.get(ws, i + j) for j in range(SHINGLE)))))
+        return F.array_distinct(F.when(n >= SHINGLE, shingles).when(n > 0, F.array(_hash(F.concat_ws(" ", ws)))).otherwise(F.array().cast("array<string>")))
 
     def scaled(every: Column) -> Column:
-        low = F.when(F.size(every) > whole_shingles, F.filter(every, lambda h: F.shiftrightunsigned(h, 1) < F.lit(top))).otherwise(F.array().cast("array<bigint>"))
-        return let(low, lambda h: F.when(F.size(h) > 0, F.struct(F.lit(scale).alias("scale"), F.array_sort(h).alias("hashes"))).otherwise(F.struct(F.lit(1).alias("scale"), F.array_sort(every).alias("hashes"))))
+        low = F.filter(every, lambda h: h < FRACTION)
+        below = lambda x: F.struct(F.lit(FRACTION).alias("bound"), F.array_sort(x).alias("hashes"))
+        least = lambda x: let(F.slice(F.array_sort(x), 1, floor), lambda k: F.struct(F.concat(F.element_at(k, -1), F.lit("~")).alias("bound"), k.alias("hashes")))
+        whole = F.struct(F.lit(EVERYTHING).alias("bound"), F.array_sort(every).alias("hashes"))
+        return let(low, lambda x: F.when(F.size(every) <= floor, whole).when(F.size(x) >= floor, below(x)).otherwise(least(every)))
 
     return let(let(words(text), of), scaled)
 
 
-def at_scale(s: Column, scale: Column) -> Column:
-    """The hashes of a sketch that a coarser one would hold."""
-    return F.when(s["scale"] == scale, s["hashes"]).otherwise(F.filter(s["hashes"], lambda h: F.shiftrightunsigned(h, 1) < (F.lit(1 << 63 - 1).cast("decimal(20,0)") * 2 / scale).cast("long")))
+def _below(s: Column, bound: Column) -> Column:
+    return F.when(s["bound"] <= bound, s["hashes"]).otherwise(F.filter(s["hashes"], lambda h: h < bound))
 
 
 def _shared(a: Column, b: Column, use) -> Column:  # noqa: ANN001
-    scale = F.greatest(a["scale"], b["scale"])
-    pair = F.struct(at_scale(a, scale).alias("a"), at_scale(b, scale).alias("b"))
-    return let(pair, lambda p: let(F.size(F.array_intersect(p["a"], p["b"])), lambda n: use(n, F.size(p["a"]), F.size(p["b"]))))
+    both = let(F.least(a["bound"], b["bound"]), lambda bound: F.struct(_below(a, bound).alias("a"), _below(b, bound).alias("b")))
+    return let(both, lambda p: let(F.size(F.array_intersect(p["a"], p["b"])), lambda n: use(n, F.size(p["a"]), F.size(p["b"]))))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated resemblance of two sketches' texts, 0 to 1."""
-    ratio = _shared(a, b, lambda n, x, y: F.when(x + y - n > 0, n / (x + y - n)).otherwise(F.lit(0.0)))
-    return F.when(a == b, F.lit(1.0)).otherwise(ratio).cast("double")
+    return _shared(a, b, lambda n, x, y: F.when(x + y > 0, n / (x + y - n)).otherwise(F.lit(1.0))).cast("double")
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -76,29 +82,59 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of both texts' shingles."""
-    scale = F.greatest(a["scale"], b["scale"])
-    return F.struct(scale.alias("scale"), F.array_sort(F.array_union(at_scale(a, scale), at_scale(b, scale))).alias("hashes"))
+    """The sketch of both texts' shingles, up to the smaller bound."""
+    return let(F.least(a["bound"], b["bound"]), lambda bound: F.struct(bound.alias("bound"), F.array_sort(F.array_union(_below(a, bound), _below(b, bound))).alias("hashes")))
 
 
 def as_string(s: Column) -> Column:
-    return F.concat(F.lit("s"), s["scale"].cast("string"), F.lit(":"), F.array_join(F.transform(s["hashes"], lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    """w (whole), f (the fraction) or l (the least), and the hashes."""
+    kind = F.when(s["bound"] == EVERYTHING, "w:").when(s["bound"] == FRACTION, "f:").otherwise("l:")
+    return F.concat(kind, F.array_join(s["hashes"], ""))
+
+
+def id_ranges(ids: DataFrame, most: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """ids (with a column __id) with __range, and (range, largest id) from the last range down.
+
+    A range with too many rows is cut into parts of equal width between its own ends, and
+    its parts again, so ids that lie far apart or close together end in ranges of like size.
+    Only counts by range reach the driver, MOST_RANGES at most."""
+    spark = ids.sparkSession
+    low, high, n = ids.agg(F.min("__id"), F.max("__id"), F.count("*")).first()
+    now = ids.withColumn("__range", F.lit(0).cast("long"))
+    leaves, big, used = {0: (low, high, n)}, {0: (low, high, n)}, 1
+    limit = max(most, n // (MOST_RANGES // 4))
+    if not n:
+        return now, []
+    while big := {r: x for r, x in big.items() if x[2] > 2 * limit and x[0] < x[1]}:
+        rows = []
+        for r, (lo, hi, count) in big.items():
+            parts = min(max(2, count // limit), PARTS, hi - lo + 1, max(2, (MOST_RANGES - used) // len(big)))
+            rows.append((r, lo, -(-(hi - lo + 1) // parts), used))
+            used += parts
+        cuts = F.broadcast(spark.createDataFrame(rows, "__range long, __lo long, __width long, __first long"))  # MOST_RANGES rows at most
+        cut = F.expr("__first + (__id - __lo) div __width")
+        now = now.join(cuts, "__range", "left").withColumn("__range", F.coalesce(cut, F.col("__range"))).drop("__lo", "__width", "__first")
+        firsts = min(r[3] for r in rows)
+        found = {r["__range"]: (r["lo"], r["hi"], r["n"]) for r in now.where(F.col("__range") >= firsts).groupBy("__range").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi"), F.count("*").alias("n")).collect()}
+        for r in big:
+            del leaves[r]
+        leaves |= found
+        big = found if used + 2 <= MOST_RANGES else {}
+    return now, sorted(((r, x[1]) for r, x in leaves.items()), key=lambda t: -t[1])
 
 
 def neighbours(docs: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """docs (doc_id, columns) with next_<column> of the next row in descending doc_id; after the last comes the first.
 
-    Rows are dealt by equal-width ranges of the id, each ordered for itself; the first row
-    of each range is also sent to the range before it. Only the largest id of each range
-    (MOST_RANGES at most) reaches the driver."""
+    Rows are dealt by ranges of the id, each ordered for itself; the first row of each range
+    is also sent to the range before it."""
     spark = docs.sparkSession
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low - 1, high)  # null ids stand at low
-    ranges = max(1, min(MOST_RANGES, n // range_rows))
-    width = max(1, -(-(high - low + 1) // ranges))
-    ranked = docs.withColumn("__id", F.coalesce("doc_id", F.lit(low))).withColumn("__range", F.expr(f"(__id - {low}L) div {width}L"))
-    tops = sorted((r["__range"], r["top"]) for r in ranked.groupBy("__range").agg(F.max("__id").alias("top")).collect())
-    ghosts = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
+    low = docs.agg(F.min("doc_id")).first()[0]
+    if low is None:
+        low = 0
+    with_id = lambda d: d.withColumn("__id", F.coalesce("doc_id", F.lit(low - 1)))  # noqa: E731  null ids stand below all
+    ranked, tops = id_ranges(with_id(docs), range_rows)
+    ghosts = [(top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)]
     sent = F.broadcast(spark.createDataFrame(ghosts, "__id long, __to long"))  # MOST_RANGES rows at most
     here = F.struct(F.col("__range").alias("r"), F.lit(0).alias("ghost"))
     there = F.struct(F.col("__to").alias("r"), F.lit(1).alias("ghost"))
@@ -132,3 +168,34 @@ def compare(docs: DataFrame) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    def of(text: str) -> str:
+        """The shingle hashes of a text, sorted."""
+        ws = f"list_filter(regexp_split_to_array(translate({text}, '{_UPPER}', '{_LOWER}'), '{WORD_SPACE}+'), lambda x: x <> '')"
+        shingles = f"CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: left(md5(array_to_string(w[i:i + {SHINGLE - 1}], ' ')), 16)) WHEN len(w) > 0 THEN [left(md5(array_to_string(w, ' ')), 16)] ELSE [] END"
+        return f"(SELECT list_sort(list_distinct({shingles})) FROM (SELECT {ws} AS w))"
+
+    def kept(x: str) -> str:
+        """Its bound and hashes, as a struct."""
+        low = f"list_filter({x}, lambda h: h < '{FRACTION}')"
+        return f"CASE WHEN len({x}) <= {FLOOR} THEN {{'bound': '{EVERYTHING}', 'hashes': {x}}} WHEN len({low}) >= {FLOOR} THEN {{'bound': '{FRACTION}', 'hashes': {low}}} ELSE {{'bound': {x}[{FLOOR}] || '~', 'hashes': {x}[1:{FLOOR}]}} END"
+
+    said = lambda s: f"CASE {s}.bound WHEN '{EVERYTHING}' THEN 'w:' WHEN '{FRACTION}' THEN 'f:' ELSE 'l:' END || array_to_string({s}.hashes, '')"
+    below = lambda s, t: f"list_filter({s}.hashes, lambda h: h < least({s}.bound, {t}.bound))"
+    shared = lambda s, t: f"len(list_intersect({below(s, t)}, {below(t, s)}))"
+    union = lambda s, t: f"(len({below(s, t)}) + len({below(t, s)}) - {shared(s, t)})"
+    like = lambda s, t: f"CASE WHEN {union(s, t)} = 0 THEN 1.0::DOUBLE ELSE {shared(s, t)}::DOUBLE / {union(s, t)} END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
+e AS (SELECT doc_id, t, nt, left(t, length(t) - length(t) // 2) || CASE WHEN length(t) >= 2 THEN left(nt, length(t) // 2) ELSE '' END AS et FROM n),
+h AS (SELECT doc_id, t, et, {of("t")} AS x, {of("nt")} AS nx, {of("et")} AS ex FROM e),
+k AS (SELECT doc_id, t, et, {kept("x")} AS s, {kept("nx")} AS ns, {kept("ex")} AS es FROM h)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(et) AS edited_sha256, {said("s")} AS fingerprint, {said("es")} AS edited_fingerprint,
+  {like("s", "es")} AS near_edited, {like("s", "ns")} AS near_next,
+  CASE WHEN len({below("s", "es")}) = 0 THEN 0.0::DOUBLE ELSE {shared("s", "es")}::DOUBLE / len({below("s", "es")}) END AS contained_in_edited FROM k"""
+
+
+SQL = _sql()
