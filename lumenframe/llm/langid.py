@@ -5,8 +5,10 @@ a run's log-probability under every language is computed once and reused. The mo
 all languages share one array of sorted n-gram hashes for each order, with a row of
 interpolated log-probabilities and of back-off weights by language: a character costs one
 binary search, and one more for each order that it has to fall back. The language with the
-lowest cross-entropy per character wins. Temperature and rejection limits come from
-labelled documents that the models haven't seen.
+lowest cross-entropy per character wins. Discounts come from the counts of counts of each
+language and order; temperature and rejection limits from labelled documents that the models
+haven't seen. Runs are counted and texts scored where they are, so the driver holds counts
+of the sample, never its texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and count as
 rejected; a null id is never learned from; without any labelled rows every text is `und`,
@@ -19,23 +21,25 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import beside_text, id_fold, table
+from lumenframe.llm.common import beside_text, drop_scratch, id_fold, table, write_scratch
 from lumenframe.llm.textblock import mix64
 
-#: Labelled texts for each language to fit on and to calibrate on; texts longer than LONGEST_FIT characters aren't among them.
+#: Labelled texts for each language to fit on and to calibrate on, and of all languages together, at most; of any length.
 FIT_TEXTS = 400
 CALIBRATE_TEXTS = 200
-LONGEST_FIT = 30_000
+MOST_TEXTS = 60_000
 ORDER = 4
-DISCOUNT = 0.75
-#: A text is rejected when its cross-entropy lies above the quantile of calibration texts of its language and length, times the slack.
-REJECT_QUANTILE = 0.999
-REJECT_SLACK = 1.25
+#: A text is rejected when its cross-entropy lies more than so many standard deviations above the mean of calibration texts of its language and length, and above all of them.
+REJECT_DEVIATIONS = 6.0
+#: The least standard deviation, as a share of the mean.
+LEAST_DEVIATION = 0.01
 #: Lengths are told apart by their log2, up to this one.
 LENGTHS = 40
 MOST_RUNS = 400_000
@@ -59,6 +63,12 @@ def _grams(runs: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, n
     return out, owner, ends
 
 
+def _discount(n: np.ndarray) -> float:
+    """Kneser and Ney's estimate from how many grams were counted once and twice."""
+    once, twice = float((n == 1).sum()), float((n == 2).sum())
+    return min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+
+
 class Models:
     """langs; for each order the sorted hashes, log-probabilities and back-off weights by language."""
 
@@ -85,6 +95,7 @@ class Models:
                 up = levels[k + 1]
                 levels[k]["n"] = np.bincount(np.searchsorted(levels[k]["h"], up["low"]), minlength=len(levels[k]["h"])).astype(float)
             raw.append(levels)
+        self.discounts = [[_discount(r[k]["n"]) for r in raw] for k in range(order)]
         self.tables: list[dict[str, np.ndarray]] = []
         self.unseen = np.zeros(n)
         for k in range(order):
@@ -96,23 +107,24 @@ class Models:
             prob = np.zeros((len(every), n))
             back = np.zeros((len(every), n), np.float32)  # of this gram as a context, filled one order later
             for j, r in enumerate(raw):
+                off = self.discounts[k][j]
                 own = np.zeros(len(every))
-                own[np.searchsorted(every, r[k]["h"])] = np.maximum(r[k]["n"] - DISCOUNT, 0)
+                own[np.searchsorted(every, r[k]["h"])] = np.maximum(r[k]["n"] - off, 0)
                 ctxs, inverse = np.unique(r[k]["ctx"], return_inverse=True)
                 total, kinds = np.bincount(inverse, r[k]["n"]), np.bincount(inverse)
                 at = np.minimum(np.searchsorted(ctxs, ctx), len(ctxs) - 1)
                 seen = ctxs[at] == ctx
                 den = np.where(seen, total[at], 1.0)
-                rest = np.where(seen, DISCOUNT * kinds[at] / den, 1.0)
+                rest = np.where(seen, off * kinds[at] / den, 1.0)
                 if k == 0:
                     lower = np.full(len(every), np.exp(self.floor))
-                    self_back = float(DISCOUNT * kinds[0] / total[0])
+                    self_back = float(off * kinds[0] / total[0])
                     self.unseen[j] = np.log(self_back) + self.floor
                 else:
                     t = self.tables[k - 1]
                     lower = np.exp(t["p"][np.searchsorted(t["h"], low), j])
                     mine = np.minimum(np.searchsorted(ctxs, t["h"]), len(ctxs) - 1)
-                    t["b"][:, j] = np.where(ctxs[mine] == t["h"], np.log(DISCOUNT * kinds[mine] / total[mine]), 0.0)
+                    t["b"][:, j] = np.where(ctxs[mine] == t["h"], np.log(off * kinds[mine] / total[mine]), 0.0)
                 prob[:, j] = np.log(np.where(seen, own / den, 0.0) + rest * lower)
             self.tables.append({"h": every, "p": prob.astype(np.float32), "b": back})
 
@@ -205,16 +217,26 @@ class Classifier:
         by: dict[str, list[str]] = {}
         for lang, text in fit:
             by.setdefault(lang, []).append(text)
-        self.models = Models({k: c for k, v in by.items() if (c := _bag(v))})
-        self.langs = self.models.langs
+        models = Models({k: c for k, v in by.items() if (c := _bag(v))})
+        scores, n = Scorer(models)([t for _, t in calibrate])
+        self._calibrate(models, scores, n, [a for a, _ in calibrate])
+
+    @classmethod
+    def of(cls, models: Models, scores: np.ndarray, n: np.ndarray, langs: list[str]) -> Classifier:
+        """From calibration texts that models have scored; langs: what each is in."""
+        made = cls.__new__(cls)
+        made._calibrate(models, scores, n, langs)
+        return made
+
+    def _calibrate(self, models: Models, scores: np.ndarray, n: np.ndarray, langs: list[str]) -> None:
+        self.models, self.langs = models, models.langs
         self.temperature = 1.0
-        self.limits = np.full((len(self.langs), LENGTHS), -self.models.floor)
-        known = [(a, t) for a, t in calibrate if a in self.langs]
-        if not known:
+        self.limits = np.full((len(self.langs), LENGTHS), -models.floor)
+        index = {a: j for j, a in enumerate(self.langs)}
+        truth = np.array([index.get(a, -1) for a in langs], np.int64)
+        use = (n > 0) & (truth >= 0)
+        if not use.any():
             return
-        scores, n = Scorer(self.models)([t for _, t in known])
-        truth = np.array([self.langs.index(a) for a, _ in known])
-        use = n > 0
         scores, n, truth = scores[use], n[use], truth[use]
         loss = {}
         for t in (1.0, 0.5, 0.25, 0.1, 0.05, 0.02):
@@ -223,23 +245,22 @@ class Classifier:
             loss[t] = -(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(axis=1))).mean()
         self.temperature = min(loss, key=loss.get)
         entropy = -scores[np.arange(len(n)), truth] / np.maximum(n, 1)
-        pooled = self._by_length(entropy, n)
-        if not pooled and len(n):  # fewer than 8 texts of any length
-            pooled = {0: float(entropy.max() * REJECT_SLACK)}
+        pooled = self._by_length(entropy, n) or {0: self._limit(entropy)}
         for j in range(len(self.langs)):
             own = self._by_length(entropy[truth == j], n[truth == j]) or pooled
-            for b in range(LENGTHS if own else 0):
+            for b in range(LENGTHS):
                 self.limits[j, b] = own[min(own, key=lambda x: (abs(x - b), x))]
 
     @staticmethod
-    def _by_length(entropy: np.ndarray, n: np.ndarray) -> dict[int, float]:
+    def _limit(entropy: np.ndarray) -> float:
+        mean = float(entropy.mean())
+        return max(mean + REJECT_DEVIATIONS * max(float(entropy.std()), LEAST_DEVIATION * mean), float(entropy.max()))
+
+    @classmethod
+    def _by_length(cls, entropy: np.ndarray, n: np.ndarray) -> dict[int, float]:
         """Limits by log2 of the length, where 8 texts or more are near."""
-        out = {}
-        for b in range(LENGTHS):
-            near = np.abs(np.log2(np.maximum(n, 1)) - b) <= 1.5
-            if near.sum() >= 8:
-                out[b] = float(np.quantile(entropy[near], REJECT_QUANTILE) * REJECT_SLACK)
-        return out
+        near = {b: np.abs(np.log2(np.maximum(n, 1)) - b) <= 1.5 for b in range(LENGTHS)}
+        return {b: cls._limit(entropy[m]) for b, m in near.items() if m.sum() >= 8}
 
     def __call__(self, scorer: Scorer, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         scores, n = scorer(texts)
@@ -257,24 +278,55 @@ class Classifier:
         return pred, conf, entropy, rejected
 
 
-def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, calibrate_texts: int = CALIBRATE_TEXTS) -> Classifier | None:
-    """From docs (doc_id, text, lang): a sample of whole texts by a hash of the id, bounded by fit_texts + calibrate_texts for each language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST_FIT)).select("doc_id", "text", "lang")
-    want = fit_texts + calibrate_texts
+def _sample(docs: DataFrame, fit_texts: int, calibrate_texts: int) -> DataFrame:
+    """lang, text and fit (or else for calibration) of labelled rows, chosen by a hash; repeated rows count once."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     sizes = known.groupBy("lang").count()
-    spread = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1 << 30))
+    want = max(1, min(fit_texts + calibrate_texts, MOST_TEXTS // max(1, sizes.count())))
+    spread = F.pmod(F.xxhash64(F.lit(6), "doc_id", "text"), F.lit(1 << 30))
     part = F.least(F.lit(1 << 30).cast("double"), F.lit(1.3 * want * (1 << 30)) / F.col("count") + 1)
-    chosen = known.join(F.broadcast(sizes), "lang").where(spread < part)  # a row for each language
-    by: dict[str, list[tuple[int, int, str]]] = {}
-    for r in chosen.select("lang", spread.alias("s"), "doc_id", "text").collect():
-        by.setdefault(r["lang"], []).append((r["s"], r["doc_id"], r["text"]))
-    fit, calibrate = [], []
-    for lang, rows in by.items():
-        rows = sorted(rows)[:want]
-        cut = len(rows) * fit_texts // want or len(rows)
-        fit += [(lang, t) for _, _, t in rows[:cut]]
-        calibrate += [(lang, t) for _, _, t in rows[cut:]]
-    return Classifier(fit, calibrate) if any(_LETTERS.search(t) for _, t in fit) else None
+    chosen = known.withColumn("s", spread).join(F.broadcast(sizes), "lang").where(F.col("s") < part)  # a row for each language
+    chosen = chosen.groupBy("lang", "s", "doc_id").agg(F.min("text").alias("text"))
+    of_lang = Window.partitionBy("lang")  # of a sample of bounded size
+    ranked = chosen.withColumn("r", F.row_number().over(of_lang.orderBy("s", "doc_id"))).withColumn("m", F.least(F.count("*").over(of_lang), F.lit(want)))
+    cut = F.floor(F.col("m") * fit_texts / (fit_texts + calibrate_texts))
+    return ranked.where(F.col("r") <= want).select("lang", "text", (F.col("r") <= F.when(cut > 0, cut).otherwise(F.col("m"))).alias("fit"))
+
+
+def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, calibrate_texts: int = CALIBRATE_TEXTS) -> Classifier | None:
+    """From docs (doc_id, text, lang): whole texts by a hash, at most fit_texts + calibrate_texts for each language and MOST_TEXTS in all."""
+    spark = docs.sparkSession
+    sample, path = write_scratch(_sample(docs, fit_texts, calibrate_texts), "languages")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by: dict[str, list[str]] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(lang, []).append(text)
+            for lang, texts in by.items():
+                bag = _bag(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bag), pa.string()), pa.array(list(bag), pa.string()), pa.array(list(bag.values()), pa.int64())], ["lang", "run", "n"])
+
+    found = sample.where("fit").select("lang", "text").mapInArrow(runs, "lang string, run string, n long").groupBy("lang", "run").agg(F.sum("n").alias("n")).toArrow()
+    counts: dict[str, Counter] = {}
+    for lang, run, n in zip(*(found.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("lang", "run", "n"))):
+        counts.setdefault(lang, Counter())[run] = int(n)
+    if not counts:
+        drop_scratch(spark, path)
+        return None
+    sent = spark.sparkContext.broadcast(Models(counts))  # bounded by the sample
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            got, n = scorer(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(got), pa.list_(pa.float64())), pa.array(n)], ["lang", "scores", "n"])
+
+    held = sample.where("not fit").select("lang", "text").mapInArrow(scores, "lang string, scores array<double>, n double").collect()  # calibrate_texts a language
+    drop_scratch(spark, path)
+    held.sort(key=lambda r: (r["lang"], r["n"], r["scores"]))
+    values = np.array([r["scores"] for r in held]).reshape(len(held), len(sent.value.langs))
+    return Classifier.of(sent.value, values, np.array([r["n"] for r in held], float), [r["lang"] for r in held])
 
 
 def annotate(docs: DataFrame, model: Classifier | None, text_col: str = "text", name: str = "lang_id", keep: list[str] | None = None) -> DataFrame:
