@@ -5,13 +5,18 @@ word beginnings that stand out in labelled toxic texts (each voter has its own s
 them), counts and densities of all of these, and surface patterns. Voters say toxic, clean
 or nothing. A generative label model estimates, by expectation maximisation over labelled
 and unlabelled rows, how each voter votes given the class, and how votes are correlated
-within a class; correlated voters share their weight. A logistic model over the lexicon
-entries and summary counts is then trained on the posterior labels and scores every text.
+within a class; correlated voters share their weight. The given label is a voter too, whose
+errors are estimated like the others', and says nothing of unlabelled rows. A logistic model
+over the lexicon entries and summary counts is then trained on the posterior labels and
+scores every text.
+
+The sample is counted, voted on and turned into features where it is: the driver gets counts
+of word forms and a sparse row for each text, never texts.
 
 Defined results: null and empty texts are scored like any text without hits; labels that
-are null are ignored, several labels of an id count by majority; without labelled rows the
-fixed lexicons alone vote; ids that are null count as held out; rows with equal text get
-equal scores.
+are null are ignored, several labels of an id count by majority; rows that repeat a sampled
+id teach once, by their least text; without labelled rows the fixed lexicons alone vote; ids
+that are null count as held out; rows with equal text get equal scores.
 """
 
 from __future__ import annotations
@@ -25,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import id_fold, table
+from lumenframe.llm.common import drop_scratch, id_fold, table, write_scratch
 
-#: Labelled texts of each class, and unlabelled ones, to fit on; texts longer than LONGEST_FIT characters aren't among them.
+#: Labelled texts of each class, and unlabelled ones, to fit on, at most about this many; of any length.
 FIT_TEXTS = 2000
-LONGEST_FIT = 30_000
 MOST_ENTRIES = 1500
+#: A form becomes an entry if so many labelled toxic texts have it, with this lift and this root of the likelihood ratio.
+LEAST_TEXTS, LEAST_LIFT, LEAST_Z = 4, 2.0, 5.0
 #: What an unlabelled row counts against a labelled one.
 UNLABELLED_WEIGHT = 0.2
 SHARES = 12
@@ -88,30 +94,35 @@ class Entries:
         return found, any_, words
 
 
-def learn_entries(toxic: list[Counter], clean: list[Counter], least: int = 4, most: int = MOST_ENTRIES) -> list[tuple[str, float]]:
-    """Words and beginnings that stand out in toxic texts, with a signed score, best first."""
+def _distinct_forms(text: str | None) -> set[str]:
+    forms: set[str] = set()
+    for chunk in _bag(text):
+        forms.update(_forms(chunk))
+    return forms
+
+
+def learn_entries(sample: DataFrame, toxic: int, clean: int, most: int = MOST_ENTRIES) -> list[str]:
+    """Words and beginnings that stand out in toxic texts of sample (y, text), best first; toxic and clean: how many there are."""
     if not toxic or not clean:
         return []
-    seen = []
-    for bags in (toxic, clean):
-        c: Counter = Counter()
-        for bag in bags:
-            forms: set[str] = set()
-            for chunk in bag:
-                forms.update(_forms(chunk))
-            c.update(forms)
-        seen.append(c)
-    a, b = len(toxic), len(clean)
-    out = []
-    for name, p in seen[0].items():
-        if p < least:
-            continue
-        n = seen[1][name]
-        lift = np.log((p + 0.5) / (a + 1)) - np.log((n + 0.5) / (b + 1))
-        z = lift / np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        if lift > 1.0 and z > 3.0:
-            out.append((name, float(z)))
-    return sorted(out, key=lambda x: (-x[1], x[0]))[:most]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[bool(y)].update(_distinct_forms(text))
+            for side, c in enumerate(seen):
+                n = pa.array(list(c.values()), pa.int64())
+                none = pa.array(np.zeros(len(c), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), *((none, n) if side else (n, none))], ["form", "n", "p"])
+
+    forms = sample.where("y is not null").select("y", "text").mapInArrow(count, "form string, n long, p long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    p, n, share = F.col("p"), F.col("n"), toxic / (toxic + clean)
+    lift = F.log((p + 0.5) / (toxic + 1)) - F.log((n + 0.5) / (clean + 1))
+    told = lambda seen, part: F.when(seen > 0, seen * F.log(seen / ((p + n) * part))).otherwise(F.lit(0.0))
+    found = forms.withColumn("lift", lift).withColumn("z", F.sqrt(F.greatest(2 * (told(p, share) + told(n, 1 - share)), F.lit(0.0))))
+    best = found.where((F.col("p") >= LEAST_TEXTS) & (F.col("lift") > LEAST_LIFT) & (F.col("z") > LEAST_Z)).orderBy(F.col("z").desc(), "form").limit(most)
+    return [r["form"] for r in best.select("form").collect()]
 
 
 def _pattern_counts(text: str | None) -> tuple[float, float, float]:
@@ -127,9 +138,9 @@ N_SUMMARY = 8
 class Featurizer:
     """Votes and features of a text."""
 
-    def __init__(self, learned: list[tuple[str, float]]) -> None:
+    def __init__(self, learned: list[str]) -> None:
         fixed = sorted({w + "$" for words in LEXICONS.values() for w in words.split()})
-        learned_names = [n for n, _ in learned if n not in set(fixed)]
+        learned_names = [n for n in learned if n not in set(fixed)]
         self.n_fixed = len(fixed)
         self.entries = Entries(fixed + learned_names)
         self.lexicon = {n: j for j, words in enumerate(LEXICONS.values()) for n in (w + "$" for w in words.split())}
@@ -160,17 +171,18 @@ class LabelModel:
     """P(vote | class) of each voter and correlations of votes within the classes."""
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, known: np.ndarray, prior: float, rounds: int = 25) -> None:
-        """start: first posterior of each row; known: rows whose posterior stays near its label."""
+        """start: first posterior of each row, the label itself for known ones, where the label votes as one voter more."""
         self.prior = min(max(prior, 0.01), 0.99)
+        gold = np.where(known, np.where(start >= 0.5, 1, -1), 0).astype(votes.dtype)
+        every = np.column_stack([votes, gold])
         post = start.copy()
         self.trust = np.where(known, 1.0, UNLABELLED_WEIGHT) if known.any() else np.ones(len(start))
         if known.any():  # the first estimate is the labelled rows' alone
-            self._estimate(votes[known], post[known], np.ones(known.sum()))
-            post[~known] = self.posterior(votes[~known])
+            self._estimate(every[known], post[known], np.ones(known.sum()))
+            post = self.posterior(every)
         for _ in range(rounds):
-            self._estimate(votes, post, self.trust)
-            new = self.posterior(votes)
-            new[known] = 0.9 * start[known] + 0.1 * new[known]
+            self._estimate(every, post, self.trust)
+            new = self.posterior(every)
             done = np.abs(new - post).max() < 1e-4
             post = new
             if done:
@@ -193,12 +205,16 @@ class LabelModel:
             sd = np.sqrt(np.diag(cov)) + 1e-6
             share += 0.5 * np.abs(cov / np.outer(sd, sd))
         np.fill_diagonal(share, 0)
+        share[-1] = share[:, -1] = 0  # the label is given by another hand
         self.weight = 1 / (1 + np.where(share > 0.1, share, 0).sum(1))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        at = votes + 1
-        columns = np.arange(votes.shape[1])
-        logit = ((self.tables[1][at, columns] - self.tables[0][at, columns]) * self.weight).sum(1) + np.log(self.prior / (1 - self.prior))
+        """Of rows with all voters' votes, or without the last one, the label's."""
+        at, columns = votes + 1, np.arange(votes.shape[1])
+        # a label that isn't there says nothing: whether a row has one doesn't depend on its class
+        said = np.where(votes != 0, 1.0, 0.0) if votes.shape[1] == len(self.weight) else np.ones(votes.shape)
+        said[:, : len(self.weight) - 1] = 1.0
+        logit = ((self.tables[1][at, columns] - self.tables[0][at, columns]) * self.weight[: votes.shape[1]] * said).sum(1) + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
@@ -220,29 +236,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, trust: np.ndarray, l2: float = 0.5,
 
 
 class Classifier:
-    def __init__(self, labelled: list[tuple[str, bool]], unlabelled: list[str]) -> None:
-        bags = [(_bag(t), y) for t, y in labelled]
-        toxic, clean = [b for b, y in bags if y], [b for b, y in bags if not y]
-        self.features = Featurizer(learn_entries(toxic, clean))
-        texts = [t for t, _ in labelled] + unlabelled
-        got = [self.features(t, True) for t in texts]
-        n = len(self.features.entries.names)
-        x = np.zeros((len(texts), n + N_SUMMARY), np.float32)
-        for i, (hits, summary, _) in enumerate(got):
-            for j, v in hits.items():
-                x[i, j] = v
-            x[i, n:] = summary
-        votes = np.stack([v for _, _, v in got]) if got else np.zeros((0, 1), np.int8)
-        if not len(votes):
+    """A featurizer and weights, from rows (y or None, entry numbers, their values, summary, votes)."""
+
+    def __init__(self, features: Featurizer, rows: list[tuple]) -> None:
+        self.features = features
+        n = len(features.entries.names)
+        if not rows:
             self.weights = np.zeros(n + N_SUMMARY + 1, np.float32)
-            self.weights[: self.features.n_fixed], self.weights[-1] = 4.0, -2.0
+            self.weights[: features.n_fixed], self.weights[-1] = 4.0, -2.0
             return
-        known = np.zeros(len(texts), bool)
-        known[: len(labelled)] = True
+        x = np.zeros((len(rows), n + N_SUMMARY), np.float32)
+        for i, (_, at, values, summary, _) in enumerate(rows):
+            x[i, at] = values
+            x[i, n:] = summary
+        votes = np.stack([np.asarray(r[4], np.int8) for r in rows])
+        known = np.array([r[0] is not None for r in rows])
         majority = 1 / (1 + np.exp(-votes.sum(1, dtype=float)))
-        start = np.where(known, np.array([float(y) for _, y in labelled] + [0.0] * len(unlabelled)), majority)
-        prior = float(np.mean([y for _, y in labelled])) if labelled else 0.1
-        self.labels = LabelModel(votes, start, known, prior)
+        start = np.where(known, np.array([float(r[0] or 0) for r in rows]), majority)
+        self.labels = LabelModel(votes, start, known, float(start[known].mean()) if known.any() else 0.1)
         self.weights = _logistic(x, self.labels.post, self.labels.trust)
 
     def score(self, text: str | None) -> float:
@@ -254,17 +265,31 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", fit_texts: int = FIT_TEXTS) -> Classifier:
     """From whole texts of docs (doc_id, text) sampled by a hash of the id: about fit_texts for each label and as many unlabelled."""
+    spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label_col) >= 0.5).alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     spread = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 30))
     at_most = lambda n: int(min(1.0, fit_texts / max(1, n)) * (1 << 30))
     chosen = known.where(spread < F.when(F.col("y"), F.lit(at_most(sizes.get(True, 0)))).otherwise(F.lit(at_most(sizes.get(False, 0)))))
-    usable = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST_FIT))
-    rows = usable.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").collect()  # bounded by fit_texts
-    total = usable.count()
-    other = usable.where(spread < at_most(total)).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text").collect()
-    rows, other = sorted(rows, key=lambda r: (r["doc_id"], r["text"])), sorted(other, key=lambda r: (r["doc_id"], r["text"]))
-    return Classifier([(r["text"], bool(r["y"])) for r in rows], [r["text"] for r in other])
+    usable = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).join(F.broadcast(chosen), "doc_id", "left")  # about 2 * fit_texts rows
+    picked = usable.where(F.col("y").isNotNull() | (spread < at_most(docs.count()))).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample, path = write_scratch(picked, "toxic")
+    have = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    sent = spark.sparkContext.broadcast(Featurizer(learn_entries(sample, have.get(True, 0), have.get(False, 0))))  # MOST_ENTRIES
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = sent.value
+        for b in batches:
+            got = [make(t, True) for t in b.column(2).to_pylist()]
+            at, values, summary, votes = ([f(g) for g in got] for f in (lambda g: list(g[0]), lambda g: list(g[0].values()), lambda g: g[1].tolist(), lambda g: g[2].tolist()))
+            arrays = [pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(summary, pa.list_(pa.float64())), pa.array(votes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["doc_id", "y", "at", "value", "summary", "votes"])
+
+    schema = "doc_id long, y boolean, at array<int>, value array<double>, summary array<double>, votes array<int>"
+    got = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text").mapInArrow(rows, schema).toArrow().sort_by("doc_id")  # a sparse row for each sampled text
+    drop_scratch(spark, path)
+    lists = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in got.column(c)]
+    return Classifier(sent.value, list(zip(got.column("y").to_pylist(), lists("at"), lists("value"), lists("summary"), lists("votes"))))
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
