@@ -1,6 +1,6 @@
 """Near-duplicates by circulant MinHash.
 
-Two permutations of a universe of 2^18 cells make all coordinates of a signature: the
+Two permutations of a universe of 2^22 cells make all coordinates of a signature: the
 first deals a shingle's hash to a cell, the second gives values, and coordinate k reads
 the second one shifted circularly by k. The first ROWS * BANDS coordinates form bands; the
 lowest bits of all COORDINATES estimate similarity.
@@ -10,11 +10,15 @@ aggregate. Classes that share a band are a bucket. No bucket is ever expanded in
 1. each bucket compares its members with one leader, the member with the most company;
    what passes the estimate is verified on full sets, and components are taken;
 2. members that are still outside their leader's component are compared, by blocks of
-   bounded size, with all who met the same leader, and verified on full sets inside the
-   block. Only links come out, at most one for two components.
+   bounded size, with those who met the same leader and have a set of like size, and
+   verified on full sets inside the block. Only links come out, at most one for two
+   components. This costs (members * outsiders) / BLOCK rows a leader and class of sizes.
 After this every pair that shares a band has been verified, is linked otherwise, or has an
 estimate over four standard deviations below the threshold.
 
+Sets are compared by 64-bit hashes of their shingles; equal sets are told by 128 bits from
+two independent hashes of the words. Joins on leaders and bands split heavy keys.
+
 Chance of losing a pair at similarity 0.75 in the banding: (1 - 0.75^5)^48 < 3e-6.
 
 Defined results: null texts and texts without words have no shingles and link with
@@ -25,6 +29,7 @@ back; an empty table gives no rows; further input columns don't pass through com
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import COARSE, drop_scratch, table, without, write_scratch
+from lumenframe.llm.common import COARSE, drop_scratch, join_spread, table, without, write_scratch
 from lumenframe.llm.textblock import mix64, shingle_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS, COORDINATES = 5, 48, 512
-CELL_BITS = 18
+CELL_BITS = 22
 SEED = 75
 #: Four and a half standard deviations of the estimate from COORDINATES bits.
 MARGIN = 0.13
@@ -47,12 +52,20 @@ BLOCK = 256
 _WINDOWS: list[np.ndarray] = []
 
 
+def _permutation(seed: int) -> np.ndarray:
+    """The cells in an order made by steps that each permute them: adding, multiplying by an odd number, folding high bits down."""
+    mask, half = np.uint64((1 << CELL_BITS) - 1), np.uint64(CELL_BITS // 2)
+    x = np.arange(1 << CELL_BITS, dtype=np.uint64)
+    for odd, plus in np.random.default_rng(seed).integers(0, 1 << CELL_BITS, (6, 2), np.uint64):
+        x = (x * (odd | np.uint64(1)) + plus) & mask
+        x ^= x >> half
+    return x.astype(np.uint32)
+
+
 def _values() -> tuple[np.ndarray, np.ndarray]:
     """The first permutation; the second, by cell and shift."""
     if not _WINDOWS:
-        rng = np.random.default_rng(SEED)
-        size = 1 << CELL_BITS
-        first, second = rng.permutation(size), rng.permutation(size).astype(np.uint32)
+        first, second = _permutation(SEED), _permutation(SEED + 1)
         ring = np.concatenate([second, second[: COORDINATES - 1]])
         _WINDOWS.extend([first, np.lib.stride_tricks.sliding_window_view(ring, COORDINATES)])
     return _WINDOWS[0], _WINDOWS[1]
@@ -83,8 +96,8 @@ def sketch_words(signatures: np.ndarray) -> np.ndarray:
     return np.packbits((signatures & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
-def _sets(texts: list[str | None]) -> list[np.ndarray]:
-    hashes, per = word_hashes([(t or "").encode().lower() for t in texts])
+def _sets(texts: list[str | None], table: int = 0) -> list[np.ndarray]:
+    hashes, per = word_hashes([(t or "").encode().lower() for t in texts], table)
     ends = np.cumsum(per)
     return [shingle_hashes(hashes[e - n : e], SHINGLE) for e, n in zip(ends, per)]
 
@@ -99,14 +112,16 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
-                sets = _sets(b.column(1).to_pylist())
+                texts = b.column(1).to_pylist()
+                sets = _sets(texts)
                 n = np.array([len(s) for s in sets], np.int64)
                 sigs = np.zeros((len(sets), COORDINATES), np.uint32)
                 keys = np.zeros((2, len(sets)), np.uint64)
                 for i, s in enumerate(sets):
                     if len(s):
                         sigs[i] = signature(s)
-                        keys[0, i], keys[1, i] = mix64(s + np.uint64(1)).sum(), mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
+                for t in (0, 1):  # by either table of word hashes
+                    keys[t] = [mix64(s + np.uint64(1)).sum() for s in (_sets(texts, 1) if t else sets)]
                 bands = band_hashes(sigs)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 words = sketch_words(sigs)
@@ -173,8 +188,9 @@ def connected(edges: DataFrame, label: str = "components") -> tuple[DataFrame, l
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, on full sets."""
-    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("__x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y")), "b")
+    """The pairs (a, b) that are linked, on full sets; an a may have any number of pairs."""
+    left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"__{k}")) for k in "ab")
+    full = join_spread(pairs.join(right, "b"), left, ["a"], pairs.groupBy("a").agg(F.count("*").alias("n")), "n", ["b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +198,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             at = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["a", "b"])
 
-    return full.select("a", "b", "__x", "__y").mapInArrow(run, "a long, b long").distinct()
+    return full.select("a", "b", "__a", "__b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _block_links(group: pa.Table) -> pa.Table:
@@ -221,19 +237,28 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def outsiders(met: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of members outside their leader's component. met: (leader, node), each leader among its own nodes; labels: (node, component)."""
+def outsiders(met: DataFrame, per_leader: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Links of members outside their leader's component. met: (leader, node, n_shingles), each leader among its own nodes; labels: (node, component)."""
     named = met.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = labels.select(F.col("node").alias("leader"), F.col("component").alias("__main"))
-    marked = named.join(lead, "leader", "left").withColumn("outside", F.col("component") != F.coalesce("__main", "leader"))
-    sizes = marked.groupBy("leader").agg(F.count("*").alias("__n"), F.count_if("outside").alias("__out")).where("__out > 0")
-    groups = marked.join(sizes, "leader").withColumns({"__mb": F.ceil(F.col("__n") / BLOCK), "__ob": F.ceil(F.col("__out") / BLOCK)})
+    marked = join_spread(named, lead, ["leader"], per_leader, "n", ["node"], "left").withColumn("outside", F.col("component") != F.coalesce("__main", "leader"))
+    # sets of like size are in one class of sizes or in neighbouring ones
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
+    marked, marked_path = write_scratch(marked.select("leader", "node", "component", "outside", size.alias("size")), "marked")
+    out = marked.where("outside").withColumn("size", F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))))
+    n_out = out.groupBy("leader", "size").agg(F.count("*").alias("__out"))
+    group = ["leader", "size"]
+    sizes = marked.groupBy(*group).agg(F.count("*").alias("__n")).join(n_out, group)
+    sizes, sizes_path = write_scratch(sizes.select(*group, "__n", "__out", F.ceil(F.col("__n") / BLOCK).alias("__mb"), F.ceil(F.col("__out") / BLOCK).alias("__ob")), "groups")
+    few = sizes.select(*group, "__mb", "__ob")
     spread = F.xxhash64("node")
-    as_member = groups.select("leader", "node", "component", F.lit(False).alias("outside"), F.pmod(spread, F.col("__mb")).alias("mb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ob") - 1)).alias("ob"))
-    as_outsider = groups.where("outside").select("leader", "node", "component", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mb") - 1)).alias("mb"), F.pmod(spread, F.col("__ob")).alias("ob"))
+    as_member = join_spread(marked, few, group, sizes, "__n", ["node"])
+    as_member = as_member.select(*group, "node", "component", F.lit(False).alias("outside"), F.pmod(spread, F.col("__mb")).alias("mb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ob") - 1)).alias("ob"))
+    as_outsider = join_spread(out, few, group, sizes, "__out", ["node"])
+    as_outsider = as_outsider.select(*group, "node", "component", F.lit(True).alias("outside"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mb") - 1)).alias("mb"), F.pmod(spread, F.col("__ob")).alias("ob"))
     rows = as_member.unionByName(as_outsider)
     full = rows.join(reps.select(F.col("doc_id").alias("node"), "n_shingles", *WORDS), "node").join(sets.withColumnRenamed("doc_id", "node"), "node")
-    return full.groupBy("leader", "ob", "mb").applyInArrow(_block_links, "a long, b long").distinct()
+    return full.groupBy("leader", "size", "ob", "mb").applyInArrow(_block_links, "a long, b long").distinct(), [marked_path, sizes_path]
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -243,12 +268,14 @@ def components(docs: DataFrame) -> DataFrame:
     sketch = F.struct("bands", "n_shingles", *WORDS)
     classes = every.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min_by(sketch, "doc_id").alias("s"), F.min("doc_id").alias("doc_id"))
     reps, reps_path = write_scratch(classes.select("k1", "k2", "doc_id", "s.*"), "classes")
-    rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    buckets, buckets_path = write_scratch(rows.join(shared, "band"), "buckets")
+    rows = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
+    shared, shared_path = write_scratch(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    buckets, buckets_path = write_scratch(join_spread(rows, shared, ["band"], shared, "n", ["doc_id"]), "buckets")
     company = buckets.groupBy("doc_id").agg(F.sum(F.col("n") - 1).alias("w"))
     leaders = buckets.join(company, "doc_id").groupBy("band").agg(F.max(F.struct(F.col("w"), (-F.col("doc_id")).alias("i"))).alias("t")).select("band", (-F.col("t.i")).alias("leader"))
-    met, met_path = write_scratch(buckets.join(leaders, "band").select("leader", F.col("doc_id").alias("node")).distinct(), "met")
+    met = join_spread(buckets, leaders, ["band"], shared, "n", ["doc_id"]).select("leader", F.col("doc_id").alias("node"), "n_shingles").distinct()
+    met, met_path = write_scratch(met, "met")
+    per_leader, per_path = write_scratch(met.groupBy("leader").agg(F.count("*").alias("n")), "leaders")
 
     known = met.select("node").distinct()
     coarse = known.select(F.pmod(F.xxhash64("node"), F.lit(COARSE)).alias("__c")).distinct()  # COARSE rows at most
@@ -256,12 +283,14 @@ def components(docs: DataFrame) -> DataFrame:
     sets, sets_path = write_scratch(shingle_sets(texts).join(known, F.col("doc_id") == F.col("node"), "left_semi"), "sets")
 
     small = lambda p, k: reps.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{p}n"), *(F.col(w).alias(f"{p}{w}") for w in WORDS))
-    near = met.where("leader != node").join(small("x", "leader"), "leader").join(small("y", "node"), "node")
+    near = join_spread(met.where("leader != node").select("leader", "node"), small("x", "leader"), ["leader"], per_leader, "n", ["node"]).join(small("y", "node"), "node")
     near = near.where(may_link(F.col("xn"), F.col("yn")) & (estimate("x", "y") >= PERCENT / 100 - MARGIN))
-    first, first_path = write_scratch(verified(near.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets), "links")
+    near, near_path = write_scratch(near.select(F.col("leader").alias("a"), F.col("node").alias("b")), "near")
+    first, first_path = write_scratch(verified(near, sets), "links")
     labels, labels_paths = connected(first)
-    more, more_path = write_scratch(outsiders(met, labels, reps, sets), "links")
-    spare = [buckets_path, met_path, sets_path]
+    apart, apart_paths = outsiders(met, per_leader, labels, reps, sets)
+    more, more_path = write_scratch(apart, "links")
+    spare = [shared_path, buckets_path, met_path, per_path, sets_path, near_path, *apart_paths]
     # rows that share an id are one document, whatever their sets
     same_id = every.where("n_shingles > 0 and doc_id is not null").join(reps.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     ids = reps.select(F.col("doc_id").alias("a"))

@@ -1,9 +1,10 @@
 """Hashes of words and word shingles for blocks of texts, in numpy.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A word's hash is a
-polynomial of its bytes modulo 2^64 (from prefix sums, so the cost doesn't depend on
-word lengths) passed through a 64-bit finaliser; equal words have equal hashes wherever
-they stand.
+Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A word is cut into chunks of
+64 bytes. A chunk adds up a random 64-bit number for each byte and place, a word mixes its
+chunks with their places, and a 64-bit finaliser follows, so no step is a polynomial that
+structured words could cancel. Equal words have equal hashes wherever they stand; a second
+table gives an independent hash.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 _STEP = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SHINGLE = np.uint64(0xD1342543DE82EF95)
+_CHUNK = 64
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -24,41 +25,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, .. start + size - 1 of each pair, one after the other."""
+    at = np.repeat(start - np.cumsum(size) + size, size)
+    at += np.arange(len(at))
+    return at
+
+
+#: By table, place in a chunk and byte.
+_NUMBERS = mix64(np.arange(1, 2 * _CHUNK * 256 + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)).reshape(2, -1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i < n; kept for blocks of the usual length only."""
-    if n <= _STEP + 1 and _STEP in _POWERS:
-        return _POWERS[_STEP]
-    size = max(n, _STEP + 1)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    both = []
-    for base in (_BASE, inverse):
-        a = np.full(size, base, np.uint64)
-        a[0] = 1
-        both.append(np.multiply.accumulate(a))
-    if size == _STEP + 1:
-        _POWERS[_STEP] = (both[0], both[1])
-    return both[0], both[1]
-
-
-def _block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+
+
+def _block(data: bytes, table: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start bytes of the words of data."""
     b = np.frombuffer(data, np.uint8)
     word = ~_IS_SPACE[b]
     edge = np.diff(np.concatenate(([False], word, [False])).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(b) + 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    sizes = ends - starts
+    place = np.arange(len(b), dtype=np.int32)
+    place[starts[0] :] -= np.repeat(starts, np.diff(starts, append=len(b))).astype(np.int32)
     prefix = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * up[: len(b)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * down[starts]), starts
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    np.cumsum(_NUMBERS[table][((place & (_CHUNK - 1)) << 8) | b], out=prefix[1:])
+    if sizes.max() <= _CHUNK:
+        sums = mix64(prefix[ends] - prefix[starts] + _PLACE)
+    else:
+        chunks = -(-sizes // _CHUNK)
+        first = np.cumsum(chunks) - chunks
+        nth = ranges(np.zeros(len(chunks), np.int64), chunks)
+        lo = np.repeat(starts, chunks) + nth * _CHUNK
+        hi = np.minimum(lo + _CHUNK, np.repeat(ends, chunks))
+        sums = np.add.reduceat(mix64(prefix[hi] - prefix[lo] + (nth + 1).astype(np.uint64) * _PLACE), first)
+    return mix64(sums + sizes.astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[bytes], table: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, counts of words by text). Memory: 8 bytes a word and a few MB;
     long texts are cut between words, which changes nothing."""
     counts = np.zeros(len(texts), np.int64)
@@ -70,7 +75,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     def flush() -> None:
         nonlocal size
         if pending:
-            hashes, starts = _block(b"\n".join(pending))
+            hashes, starts = _block(b"\n".join(pending), table)
             bounds = np.cumsum([0] + [len(p) + 1 for p in pending])
             per = np.diff(np.searchsorted(starts, bounds))
             np.add.at(counts, owner, per)
@@ -108,6 +113,6 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     width = min(k, n)
     h = np.full(n - width + 1, np.uint64(width), np.uint64)
     for j in range(width):
-        h = h * _SHINGLE + words[j : n - width + 1 + j]
-    h = np.sort(mix64(h))
+        h = mix64(h * _PLACE + words[j : n - width + 1 + j])
+    h.sort()
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
