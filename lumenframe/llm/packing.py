@@ -25,16 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import table, write_scratch
+from lumenframe.llm.textblock import ranges
 
 CAPACITY = 2048
 GROUPS = 24
 LARGE_PART = 8
 #: Rows of a (length, salt) group, on average over the salts, at most.
 RANK_GROUP = 4096
+#: Salts whose counts are summed together.
+RUN = 4096
 
 
 def tokenizer_path() -> str:
@@ -47,11 +51,14 @@ class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     A single space between two non-space characters always starts a new pre-token of this
-    vocabulary, so a text may be cut there and ids of equal parts reused. The parts are
-    encoded by tiktoken from the same file's merges, with the same ids; texts that hold
-    the special token go to the tokenizers library itself."""
+    vocabulary, so texts are cut there. Arrow splits a block of texts and numbers its distinct
+    words; new ones are encoded together, and numpy puts the ids of all words in their places.
+    Words are encoded by tiktoken from the same file's merges, with the same ids; texts that
+    hold the special token go to the tokenizers library itself."""
 
-    MOST_PARTS = 300_000
+    MOST_WORDS = 300_000
+    #: Characters of a block of texts; longer texts are cut at spaces.
+    BLOCK = 1 << 22
 
     def __init__(self, path: str) -> None:
         import json
@@ -69,29 +76,124 @@ class Encoder:
         ranks = {bytes(chars[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
+        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for piece, i in ranks.items():
+            self.n_bytes[i] = len(piece)
+        self.reset()
 
     #: A space next to any other white space; there a cut could change the pre-tokens.
-    _RUN = re.compile(r"\s[ ]|[ ]\s")
+    _RUN = re.compile(r" (?:\s|(?<=\s ))")
+
+    def reset(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.size, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps words of two blocks or more, so that rare ones don't push out frequent ones."""
+        old, stay = self.known, self.uses > 1
+        if stay.sum() > self.MOST_WORDS // 2:
+            return self.reset()
+        start, size, ids = self.start[stay], self.size[stay], self.ids
+        words = [w for w, i in old.items() if stay[i]]
+        self.reset()
+        self.known = dict(zip(words, range(len(words))))
+        self._store(ids[ranges(start, size)], size)
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(ids), self.used) + 1, "<u4")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.used += len(ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Keeps the ids of words with a space before them: encoded as one text, where every space begins a word."""
+        fresh = [w for w in words if w not in self.known]
+        if fresh:
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            text = " " + " ".join(fresh)
+            ids = self.fast.encode_to_numpy(text)
+            starts = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+            stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.append(starts[1:], len(text.encode()))) + 1
+            self._store(ids, np.diff(stops, prepend=0))
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without white space next to a space, and where each ends.
+
+        The first word of a text has no space before it, and only the last may end with white
+        space or be empty: these two are encoded by themselves."""
+        if len(self.known) > self.MOST_WORDS:
+            self._forget()
+        inner = [t[t.find(" ") + 1 : t.rfind(" ") + 1] for t in texts]  # each word with a space after it
+        firsts = [t.split(" ", 1)[0] for t in texts]
+        lasts = [t[t.rfind(" ") :] if " " in t else "" for t in texts]
+        cut = pc.split_pattern(pa.array(inner, pa.string()), " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in words if w])
+        self.known[""] = -1
+        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        del self.known[""]
+        self.uses[place[place >= 0]] += 1
+        edges = [self.fast.encode_to_numpy(w).astype("<u4") for pair in zip(firsts, lasts) for w in pair]
+        base = len(self.start)
+        units = place[coded.indices.to_numpy()]
+        # every text's words end with an empty one, and its two edges go around them
+        units[bounds[1:] - 1] = base + 1 + 2 * np.arange(len(texts))
+        units = np.insert(units, bounds[:-1], base + 2 * np.arange(len(texts)))
+        extra = np.array([len(x) for x in edges], np.int64)
+        size, start = np.concatenate([self.size, extra]), np.concatenate([self.start, self.used + np.cumsum(extra) - extra])
+        flat = np.concatenate([self.ids[: self.used], *edges])
+        sizes = size[units]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        return flat[ranges(start[units], sizes)], ends[bounds[1:] + np.arange(1, len(texts) + 1)]
+
+    def _cuts(self, text: str) -> Iterator[str]:
+        """text in parts of about BLOCK characters, cut before spaces that are cuts."""
+        at = 0
+        while at < len(text):
+            to = text.find(" ", at + self.BLOCK)
+            to = len(text) if to < 0 else to
+            yield text[at:to]
+            at = to
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        pending: list[str] = []
+        size = 0
+
+        def flush() -> Iterator[np.ndarray]:
+            if pending:
+                ids, ends = self._block(pending)
+                yield from np.split(ids, ends[:-1])
+                pending.clear()
+
+        for text in texts:
+            plain = not self._RUN.search(text) and not any(s in text for s in self.special)
+            if plain and len(text) <= self.BLOCK:
+                if size + len(text) > self.BLOCK:
+                    yield from flush()
+                    size = 0
+                pending.append(text)
+                size += len(text)
+                continue
+            yield from flush()
+            size = 0
+            if plain:
+                yield np.concatenate([self._block([part])[0] for part in self._cuts(text)])
+            elif any(s in text for s in self.special):
+                yield np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+            else:
+                yield self.fast.encode_to_numpy(text).astype("<u4")
+        yield from flush()
 
     def __call__(self, text: str) -> bytes:
         """The ids, each as 4 bytes, little-endian."""
-        if any(s in text for s in self.special):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self._RUN.search(text):
-            return self.fast.encode_to_numpy(text).astype("<u4").tobytes()
-        first, *parts = text.split(" ")
-        known = self.known
-        if len(known) > self.MOST_PARTS:
-            known.clear()
-        out = [self.fast.encode_to_numpy(first).astype("<u4").tobytes()]
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                ids = self.fast.encode_to_numpy(" " + part).astype("<u4").tobytes()
-                known[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        return next(self.encode([text])).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -114,23 +216,23 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + b"\0\0\0\0"
-                for k, (start, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + length)]
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_numpy(zero_copy_only=False).tolist()])):
+                ids = np.append(ids, np.uint32(0)).astype("<u4")
+                for k, (start, length) in enumerate(cut_pieces(len(ids), capacity)):
+                    part = ids[start : start + length]
                     rows.append((doc, k, start, length, zlib.crc32(part), part if with_ids else None))
             columns = list(zip(*rows)) if rows else [()] * 6
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in columns[5]], pa.list_(pa.int64())))
+                arrays.append(pa.array([x.astype(np.int64) for x in columns[5]], pa.list_(pa.int64())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
-        encode.known.clear()  # the worker lives on
+        encoder.reset()  # the worker lives on
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -309,9 +411,12 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     found = segments(plan_classes(counts, capacity, groups))
     salts = sum(counts.values()) // RANK_GROUP + 32
     salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
-    offsets = sizes.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    # counts before a salt: of its run of salts by the runs before, and inside its run
+    sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n")).withColumn("__run", F.floor(F.col("__salt") / RUN))
+    inside = Window.partitionBy("length", "__run").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("length").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sizes.groupBy("length", "__run").agg(F.sum("__n").alias("__n")).select("length", "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__runs"))
+    offsets = sizes.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(runs, ["length", "__run"]).select("length", "__salt", (F.col("__in") + F.col("__runs")).alias("__before"))
     within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("__rank", F.row_number().over(within) - 1).join(offsets, ["length", "__salt"])
     ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before", "__salt")
