@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import table
-from lumenframe.llm.textblock import mix64
+from lumenframe.llm.textblock import mix64, ranges
 
 MARK = "▁"
+LINE = "\x02"
 N_BEST = 3
 #: Words that numpy solves together, by length; longer ones are solved one by one.
 LONGEST_TOGETHER = 40
@@ -64,7 +66,10 @@ class Vocabulary:
         self.score = {p: float(sp.get_score(i)) if sp.get_score(i) > UNUSED else least - 1 for p, i in self.id.items()}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece crosses a space; the lattice doesn't fall into words")
-        self.spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.spell = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spell_size = np.array(list(map(len, spelled)), np.int64)
+        self.spell_start = np.cumsum(self.spell_size) - self.spell_size
         self.longest = max(map(len, self.id))
         self.cut_lines = not any("\n" in p for p in self.id)
         self.byte_score = min(self.score.values()) - BYTE_PENALTY
@@ -154,42 +159,55 @@ class Words:
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.n_ids = np.zeros(0, np.int64)
-        self.best = np.zeros(0)
-        self.gap = np.zeros(0)
+        self.names: list[str] = []
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.n_ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.best, self.gap = np.zeros(0), np.zeros(0)
 
     def add(self, words: list[str]) -> None:
-        by: dict[int, list[str]] = {}
-        start = len(self.at)
-        for w in words:
-            if w not in self.at:
-                self.at[w] = len(self.at)
-                by.setdefault(len(w), []).append(w)
-        n = len(self.at) - start
+        fresh = [w for w in words if w not in self.at]
+        start, n = len(self.at), len(fresh)
         if not n:
             return
-        ids: list[bytes] = [b""] * n
+        self.at.update(zip(fresh, range(start, start + n)))
+        self.names += fresh
+        by: dict[int, list[str]] = {}
+        for w in fresh:
+            by.setdefault(len(w), []).append(w)
         n_ids, best, gap = np.zeros(n, np.int64), np.zeros(n), np.full(n, np.inf)
+        place = np.zeros(n, np.int64)
+        parts: list[np.ndarray] = []
+        used = 0
         for length, group in by.items():
+            if not length:
+                continue  # no pieces, no cost, no other way
             for lo in range(0, len(group), 20_000):
                 part = group[lo : lo + 20_000]
-                solved = self._together(part, length) if length <= LONGEST_TOGETHER else None
-                for k, w in enumerate(part):
-                    i = self.at[w] - start
-                    if solved is None or solved[0][k] is None:
-                        paths = Lattice(w, self.v).paths()
-                        s, own = next(paths)
-                        second = next(paths, None)
-                        ids[i], n_ids[i], best[i] = np.asarray(own, "<u4").tobytes(), len(own), s
-                        gap[i] = s - second[0] if second else np.inf
-                    else:
-                        ids[i], n_ids[i], best[i], gap[i] = solved[0][k], len(solved[0][k]) // 4, solved[1][k], solved[2][k]
-        self.ids += ids
+                rows = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part)) - start
+                known = np.zeros(len(part), bool)
+                if length <= LONGEST_TOGETHER:
+                    known, ids, size, best[rows], gap[rows] = self._together(part, length)
+                    parts.append(ids)
+                    n_ids[rows], place[rows] = size, used + np.cumsum(size) - size
+                    used += len(ids)
+                for k in np.flatnonzero(~known):
+                    paths = Lattice(part[k], self.v).paths()
+                    s, own = next(paths)
+                    second = next(paths, None)
+                    i = rows[k]
+                    n_ids[i], place[i], best[i], gap[i] = len(own), used, s, s - second[0] if second else np.inf
+                    parts.append(np.asarray(own, "<u4"))
+                    used += len(own)
+        if self.used + used > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(used, self.used), "<u4")])
+        if used:
+            self.ids[self.used : self.used + used] = np.concatenate(parts)
+        self.start = np.concatenate([self.start, place + self.used])
+        self.used += used
         self.n_ids, self.best, self.gap = np.concatenate([self.n_ids, n_ids]), np.concatenate([self.best, best]), np.concatenate([self.gap, gap])
 
-    def _together(self, words: list[str], length: int) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
-        """Words of one length; None for those with characters that are no piece."""
+    def _together(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of one length: which hold only characters that are pieces; for these all ids, how many each, score and gap."""
         v, m = self.v, len(words)
         units = _units(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)).reshape(m, length)
         best = np.full((length + 1, m), -np.inf)
@@ -236,11 +254,9 @@ class Words:
             gap = np.where(live, np.minimum(gap, loss[pos, rows]), gap)
             steps.append(np.where(live, back_id[pos, rows], -1))
             pos = np.where(live, back[pos, rows], 0)
-        ids = np.stack(steps[::-1], axis=1).astype("<i4")
-        out: list[bytes | None] = []
-        for k in range(m):
-            out.append(ids[k][ids[k] >= 0].tobytes() if known[k] else None)
-        return out, best[length], gap
+        ids = np.stack(steps[::-1], axis=1)
+        own = (ids >= 0) & known[:, None]
+        return known, ids[own].astype("<u4"), own.sum(axis=1), best[length], gap
 
 
 class Segmenter:
@@ -251,70 +267,73 @@ class Segmenter:
         self.words = Words(self.v)
         self.ways: dict[str, list[tuple[float, bytes]]] = {}
 
-    def split(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-            return _SEGMENT.findall(marked(text))
-        if not self.v.cut_lines or "\n" not in text:
-            return [MARK + w for w in text.split(" ")]
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):  # no piece holds a line break
-            first, *rest = line.split(" ")
-            if i:
-                out.append("\n")
-                if first:
-                    out.append(first)
-            else:
-                out.append(MARK + first)
-            out += [MARK + w for w in rest]
-        return out
+    def learn(self, texts: list[str]) -> list[np.ndarray]:
+        """The words of each text, solved, as numbers.
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The words of the texts, solved."""
+        Arrow splits texts whose spaces are single and inside, and numbers their distinct
+        words; LINE marks words that stand after a line break and so have no space mark."""
         if len(self.words.at) > MOST_WORDS:
             self.words.reset()
-        parts = [self.split(t) for t in texts]
-        self.words.add([w for p in parts for w in p])
-        return parts
+        plain = [bool(t) and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t and LINE not in t for t in texts]
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        at = self.words.at
+        mine = [i for i, p in enumerate(plain) if p]
+        if mine:
+            cut = pa.array([texts[i].replace("\n", f" \n {LINE}") if self.v.cut_lines else texts[i] for i in mine], pa.large_string())
+            cut = pc.split_pattern(cut, " ")
+            bounds = cut.offsets.to_numpy()
+            coded = cut.flatten().dictionary_encode()
+            words = [w if w == "\n" and self.v.cut_lines else (w[1:] if w[:1] == LINE else MARK + w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+            self.words.add(words)
+            units = np.fromiter(map(at.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+            for i, lo, hi in zip(mine, bounds[:-1], bounds[1:]):
+                out[i] = units[lo:hi]
+        for i, p in enumerate(plain):
+            if not p:
+                words = _SEGMENT.findall(marked(texts[i]))
+                self.words.add(list(dict.fromkeys(words)))
+                out[i] = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+        return out
 
-    def n_best(self, parts: list[str], n: int) -> list[tuple[float, bytes]]:
-        """(score, ids as 4 bytes each), best first, of a text cut into words that are solved."""
+    def n_best(self, at: np.ndarray, n: int) -> list[tuple[float, bytes]]:
+        """(score, ids as 4 bytes each), best first, of a text whose words are solved."""
         w = self.words
-        at = np.fromiter(map(w.at.__getitem__, parts), np.int64, len(parts))
         base = float(w.best[at].sum())
-        ids = [w.ids[i] for i in at]
-        out = [(base, b"".join(ids))]
+        sizes = w.n_ids[at]
+        ids = w.ids[ranges(w.start[at], sizes)]
         if n == 1 or not len(at):
-            return out
+            return [(base, ids.tobytes())]
         gaps = w.gap[at]
         # a segmentation among the n best changes only words among the n - 1 least gaps
-        near = np.argsort(gaps, kind="stable")[: n - 1]
-        near = near[np.isfinite(gaps[near])]
+        near = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) >= n else np.arange(len(gaps))
+        near = np.sort(near[np.isfinite(gaps[near])])
+        stops = np.cumsum(sizes)
         ways = []
         for k in near:
-            got = self.ways.get(parts[k])
+            word = w.names[at[k]]
+            got = self.ways.get(word)
             if got is None or len(got) < n and np.isfinite(got[-1][0]):
                 got = []
-                for s, own in Lattice(parts[k], self.v).paths():
-                    got.append((float(w.best[at[k]]) - s, np.asarray(own, "<u4").tobytes()))
+                for s, own in Lattice(word, self.v).paths():
+                    got.append((float(w.best[at[k]]) - s, np.asarray(own, "<u4")))
                     if len(got) == n:
                         break
                 else:
-                    got.append((np.inf, b""))  # there are no more
+                    got.append((np.inf, np.zeros(0, "<u4")))  # there are no more
                 if len(self.ways) > MOST_WORDS:
                     self.ways.clear()
-                self.ways[parts[k]] = got
+                self.ways[word] = got
             ways.append([g for g in got[:n] if np.isfinite(g[0])])
         heap: list[tuple[float, tuple[int, ...]]] = [(0.0, (0,) * len(ways))]
         seen = {heap[0][1]}
         taken: list[tuple[float, bytes]] = []
         while heap and len(taken) < n:
             loss, pick = heapq.heappop(heap)
-            own = list(ids)
+            own, to = [], 0
             for k, c, way in zip(near, pick, ways):
-                own[k] = way[c][1]
-            taken.append((base - loss, b"".join(own)))
+                own += [ids[to : stops[k] - sizes[k]], way[c][1]]
+                to = stops[k]
+            taken.append((base - loss, np.concatenate([*own, ids[to:]]).tobytes()))
             for i, c in enumerate(pick):
                 if c + 1 < len(ways[i]):
                     nxt = (*pick[:i], c + 1, *pick[i + 1 :])
@@ -323,8 +342,12 @@ class Segmenter:
                         heapq.heappush(heap, (sum(way[x][0] for way, x in zip(ways, nxt)), nxt))
         return taken
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        v = self.v
+        return v.spell[ranges(v.spell_start[ids], v.spell_size[ids])].tobytes()
+
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.v.spelled.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+        text = self.decoded(ids).decode("utf-8", errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -345,14 +368,16 @@ def encode(docs: DataFrame, n_best: int = N_BEST, path: str | None = None, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = _segmenter(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                b = batch.slice(lo, 1024)
                 docs_, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
                 rows = []
                 for doc, text, parts in zip(docs_, texts, seg.learn(texts)):
+                    spelled = b"" if with_ids else f" {text}".encode()
                     for rank, (score, ids) in enumerate(seg.n_best(parts, n_best), 1):
                         values = np.frombuffer(ids, "<u4")
-                        rows.append((doc, rank, score, len(values), zlib.crc32(ids), values.astype(np.int64) if with_ids else seg.decode(values) == text))
+                        last = values.astype(np.int64) if with_ids else seg.decoded(values) == spelled or seg.decode(values) == text
+                        rows.append((doc, rank, score, len(values), zlib.crc32(ids), last))
                 columns = list(zip(*rows)) if rows else [()] * 6
                 types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64()) if with_ids else pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
