@@ -8,17 +8,22 @@ such code may differ by a few tokens.
 from __future__ import annotations
 
 import ast
+import bisect
 import difflib
 import io
 import keyword
 import re
 import tokenize
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from lumenframe.functions.text import BOILERPLATE_COMMENTS, CUES
+
 _CPP = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<literal>(?:u8|[uUL])?R"\((?:.|\n)*?\)"|(?:u8|[uUL])?"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<word>[A-Za-z_]\w*)|(?P<number>\.?\d(?:[\w.']|[eEpP][+-])*)|(?P<mark><<=|>>=|->\*|\.\.\.|::|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||[-+*/%&|^=]=|[^\s\w])""", re.S)
+CUE_WORDS = frozenset(CUES)
 _PAIRS = {")": "(", "]": "[", "}": "{"}
 _SLASHES = re.compile(r"(?m)^([ \t]*)//")
 _TRIVIA = {tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER, tokenize.ENCODING}
@@ -113,51 +118,200 @@ def without_comments(code: str | None, language: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", text)
 
 
-def _functions(code: str, language: str) -> dict[str, tuple[str, list[str], int]]:
-    """name -> (header, body lines, parameters)."""
-    out: dict[str, tuple[str, list[str], int]] = {}
-    lines = code.split("\n")
-    if language.upper() == "PYTHON":
-        tree = _python_tree(code)
-        for node in ast.walk(tree) if tree else []:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and node.name not in out:
-                first = node.body[0].lineno - 1
-                out[node.name] = ("\n".join(lines[node.lineno - 1 : max(first, node.lineno)]), lines[max(first, node.lineno) : node.end_lineno], len(node.args.args))
+@dataclass
+class Node:
+    """A statement or member, by character offsets; `body` is where the lines of a function or class begin."""
+
+    kind: str  # function, class or other
+    name: str
+    start: int
+    end: int
+    body: int = 0
+    body_end: int = 0
+    members: list[Node] = field(default_factory=list)
+
+
+def _python_nodes(code: str) -> list[Node] | None:
+    tree = _python_tree(code)
+    if tree is None:
+        return None
+    source = _SLASHES.sub(r"\1# ", code)
+    lines = source.split("\n")
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
+    at = lambda row, column: starts[row - 1] + len(lines[row - 1].encode()[:column].decode())
+    marks = [(starts[t.start[0] - 1] + t.start[1], t.string) for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.OP]
+
+    def colon(start: int) -> int:
+        """The end of the signature that begins at start."""
+        depth = 0
+        for pos, mark in marks[bisect.bisect_left(marks, (start, "")) :]:
+            depth += (mark in "([{") - (mark in ")]}")
+            if mark == ":" and depth == 0:
+                return pos + 1
+        return start
+
+    def nodes(body: list[ast.stmt]) -> list[Node]:
+        out = []
+        for s in body:
+            kind = "function" if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)) else "class" if isinstance(s, ast.ClassDef) else "other"
+            start, end = at(s.lineno, s.col_offset), at(s.end_lineno, s.end_col_offset)
+            node = Node(kind, getattr(s, "name", ""), start, end)
+            if kind != "other":
+                node.body, node.body_end = colon(start), end
+                node.members = nodes(s.body) if kind == "class" else []
+                node.start = min([start, *(at(d.lineno, d.col_offset) - 1 for d in s.decorator_list)])
+            out.append(node)
         return out
-    for m in re.finditer(r"(?m)^[ \t]*[A-Za-z_][\w:<>,&*\s]*?\b([A-Za-z_]\w*)\s*\(([^()]*)\)\s*(?:const\s*)?\{", code):
-        depth, end = 0, m.end() - 1
-        for i in range(m.end() - 1, len(code)):
-            depth += {"{": 1, "}": -1}.get(code[i], 0)
-            if depth == 0:
-                end = i
+
+    return nodes(tree.body)
+
+
+def _cpp_nodes(code: str, a: int = 0, b: int | None = None) -> list[Node]:
+    tokens = [m for m in _CPP.finditer(code, a, len(code) if b is None else b) if m.lastgroup != "comment"]
+    out, k = [], 0
+    while k < len(tokens):
+        first = tokens[k]
+        if first.group() == "#":  # a directive takes its line
+            line = code.find("\n", first.start())
+            end = len(code) if line < 0 else line
+            out.append(Node("other", "", first.start(), end))
+            while k < len(tokens) and tokens[k].start() < end:
+                k += 1
+            continue
+        if first.group() in ("public", "private", "protected") and k + 1 < len(tokens) and tokens[k + 1].group() == ":":
+            out.append(Node("other", "", first.start(), tokens[k + 1].end()))
+            k += 2
+            continue
+        depth, paren, brace, assigned, kind, j = 0, None, None, False, "other", k
+        close = first
+        while j < len(tokens):
+            t = tokens[j].group()
+            if depth == 0 and brace is None:
+                paren = j if t == "(" and paren is None else paren
+                assigned |= t == "="
+                if t == "{":
+                    brace = tokens[j]
+                    header = code[first.start() : brace.start()]
+                    if paren is None and re.match(r"(?:template\s*<[^{}]*>\s*)?(?:class|struct|union|namespace)\b", header):
+                        kind = "class"
+                    elif paren is not None and not assigned:
+                        kind = "function"
+            depth += (t in ("(", "[", "{")) - (t in (")", "]", "}"))
+            close = tokens[j]
+            j += 1
+            if depth == 0 and (t == ";" or t == "}" and (kind == "function" or first.group() == "namespace")):
                 break
-        if m.group(1) not in out and m.group(1) not in ("if", "for", "while", "switch"):
-            out[m.group(1)] = (m.group().strip(), code[m.end() : end + 1].split("\n"), len([p for p in m.group(2).split(",") if p.strip()]))
+        end = close.end()
+        if close.group() == "}" and j < len(tokens) and tokens[j].group() == ";":
+            end, j = tokens[j].end(), j + 1
+        node = Node(kind, "", first.start(), end)
+        if kind != "other":
+            node.body, node.body_end = brace.end(), code.rfind("}", brace.end(), end)
+            node.name = tokens[paren - 1].group() if kind == "function" else ""
+            node.members = _cpp_nodes(code, node.body, node.body_end) if kind == "class" else []
+        out.append(node)
+        k = j
     return out
 
 
+def nodes_of(code: str, language: str) -> list[Node] | None:
+    return _python_nodes(code) if language.upper() == "PYTHON" else _cpp_nodes(code)
+
+
+def functions_in(nodes: list[Node]) -> list[Node]:
+    """Functions at the top and in classes, in order; not those inside functions."""
+    return [f for n in nodes for f in ([n] if n.kind == "function" else functions_in(n.members))]
+
+
+def _plain(text: str) -> str:
+    return "\n".join(x.rstrip() for x in text.strip().split("\n"))
+
+
+def _tidy(text: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in text.split("\n")).strip("\n"))
+
+
+class Stripper:
+    """What an author wrote in `code`, given the stub that came with the task."""
+
+    def __init__(self, code: str, stub: str, language: str) -> None:
+        self.code, self.python = code, language.upper() == "PYTHON"
+        raw, given = nodes_of(code, language) or [], nodes_of(stub, language) or []
+        mine: dict[str, Node] = {}
+        for f in functions_in(raw):
+            mine.setdefault(f.name, f)
+        pairs = [(mine[f.name], f) for f in functions_in(given) if f.name in mine]
+        self.nodes = raw
+        self.stub_lines = {id(f): {x.strip() for x in stub[g.body : g.body_end].split("\n")} - {"", "{", "}", "};"} for f, g in pairs}
+        paired = {id(g) for _, g in pairs}
+        self.given = {_plain(stub[n.start : n.end]) for n in self._loose(given, paired)}
+
+    def _loose(self, nodes: list[Node], paired: set[int]) -> list[Node]:
+        """Nodes of the stub that neither are nor hold a paired function."""
+        out = []
+        for n in nodes:
+            if id(n) in paired:
+                continue
+            if any(id(f) in paired for f in functions_in([n])):
+                out += self._loose(n.members, paired)
+            else:
+                out.append(n)
+        return out
+
+    def _column(self, at: int) -> int:
+        return at - (self.code.rfind("\n", 0, at) + 1)
+
+    def target(self, f: Node) -> list[str]:
+        """The signature and the body's lines that the stub hasn't; nothing if the stub has them all."""
+        pad = " " * self._column(f.start)
+        body = self.code[f.body : f.body_end].split("\n")
+        if body and body[0].strip():  # it begins in the signature's line
+            body[0] = f"{pad}    {body[0].strip()}"
+        own = _tidy("\n".join(x for x in body if x.strip() not in self.stub_lines[id(f)]))
+        if not own.strip():
+            return []
+        return [pad + self.code[f.start : f.body].rstrip(), *own.split("\n"), *([] if self.python else [pad + "}"])]
+
+    def unit(self, n: Node) -> list[str]:
+        """The lines of a node that are the author's, at its own indentation."""
+        if id(n) in self.stub_lines:
+            return self.target(n)
+        pad, text = " " * self._column(n.start), self.code[n.start : n.end]
+        if n.kind == "class" and any(id(f) in self.stub_lines for f in functions_in([n])):
+            members = [line for m in n.members for line in self.unit(m)]
+            written = any(x.strip() and x.strip() not in ("public:", "private:", "protected:") for x in members)
+            return [pad + self.code[n.start : n.body].rstrip(), *members, *([] if self.python else [pad + "};"])] if written else []
+        if _plain(text) in self.given and not text.rstrip().endswith(("public:", "private:", "protected:")):
+            return []
+        return (pad + text).split("\n")
+
+    def __call__(self) -> str:
+        chunks = []
+        for n in self.nodes:
+            cut = self._column(n.start)
+            lines = [x[cut:] if not x[:cut].strip() else x.lstrip() for x in self.unit(n)]
+            chunks += ["\n".join(lines).strip("\n")] if lines else []
+        return _tidy("\n".join(c for c in chunks if c.strip()))
+
+
 def strip_solution(code: str | None, boilerplate: str | None, language: str | None) -> tuple[str | None, int, int, str | None]:
     """(what the author wrote, target functions, helper functions, error).
 
-    Functions that the boilerplate names are targets: their header and the lines that the
-    stub doesn't have stay. Other lines stay unless the boilerplate has them."""
+    Functions that the boilerplate names are targets: their signatures stay, and the lines of
+    their bodies that the stub's body of the same function doesn't have. Whole statements and
+    members that the boilerplate has as they are go; all others stay."""
     if not parses(code, language) or not parses(boilerplate, language):
         return None, 0, 0, "parse_error"
-    raw, stub = _functions(code or "", language or ""), _functions(boilerplate or "", language or "")
-    targets = [n for n in stub if n in raw]
+    strip = Stripper(code or "", boilerplate or "", language or "")
+    targets = len(strip.stub_lines)
     if not targets:
         return None, 0, 0, "no_target"
-    stub_lines = {x.strip() for x in (boilerplate or "").split("\n")} - {"", "{", "}", "};"}
-    kept = []
-    headers = {x.strip() for n in targets for x in raw[n][0].split("\n")}
-    for line in (code or "").split("\n"):
-        s = line.strip()
-        if s in headers or s not in stub_lines:
-            kept.append(line)
-    text = without_comments("\n".join(kept), language) or without_comments(code, language) or ""
-    if not text.strip():
-        return None, len(targets), max(len(raw) - len(targets), 0), "empty"
-    return text, len(targets), max(len(raw) - len(targets), 0), None
+    text = without_comments(strip(), language)
+    if not text or not text.strip():
+        return None, targets, 0, "empty"
+    return text, targets, max(len(functions_in(nodes_of(text, language or "") or [])) - targets, 0), None
 
 
 def comments(code: str | None, language: str | None) -> list[str]:
@@ -203,7 +357,8 @@ def commented_out(code: str | None, language: str | None) -> bool:
 
 def explanatory(code: str | None, language: str | None) -> bool:
     def prose(b: str) -> bool:
-        return len(re.findall("[A-Za-z]+", b)) >= 5
+        words = re.findall("[a-z]+", b.lower())
+        return b.strip().lower() not in BOILERPLATE_COMMENTS and (len(words) >= 5 or len(words) == 4 and bool(re.search("[.!?:;,]", b)) and not CUE_WORDS.isdisjoint(words))
 
     return any(prose(b) and not _is_code(b, language or "") for b in comments(code, language))
 
@@ -267,6 +422,22 @@ def matching_span(reference: str | None, query: str | None) -> tuple[int | None,
     return part[0][0], part[-1][0], [x for _, x in part[:8]]
 
 
+def rename_only(before: str | None, after: str | None, language: str | None) -> bool:
+    """If the texts have the same tokens but for names, and each name always becomes the same other one."""
+    if not parses(before, language) or not parses(after, language):
+        return False
+    words = lambda c: [m.group() for m in _CPP.finditer(without_comments(c, language) or "")]
+    a, b = words(before), words(after)
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    for x, y in zip(a, b):
+        if x != y and not (x.isidentifier() and y.isidentifier() and not keyword.iskeyword(x) and not keyword.iskeyword(y)):
+            return False
+        if x.isidentifier() and (there.setdefault(x, y) != y or back.setdefault(y, x) != x):
+            return False
+    return len(a) == len(b)
+
+
 def rename(code: str | None, names: dict[str, str]) -> str | None:
     """Whole-word renames."""
     if code is None or not names:

@@ -6,8 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FENCE = "(?s)```[A-Za-z0-9+#-]*\\n(.*?)```"
-# Cues of explanatory prose.
-CUES = ["because", "since", "so", "then", "first", "next", "finally", "we", "this", "ensure", "check", "if"]
+# Cues of explanatory prose; comments of templates.
+CUES = ["the", "this", "that", "we", "then", "because", "which", "using", "here", "first", "checks", "ensures", "iterate", "store", "avoid", "from", "into", "with"]
+BOILERPLATE_COMMENTS = ["write your code here", "write your code here..."]
+# Patterns of an entry point, of reading, of writing and of imports.
+MAIN_PATTERN = r"(?m)\b(int|void)\s+main\s*\(|if\s+__name__\s*==|def\s+main\s*\("
+INPUT_PATTERN = r"\bcin\b|\bscanf\s*\(|\bgetline\s*\(|\bstd::cin\b|\binput\s*\(|sys\.stdin"
+OUTPUT_PATTERN = r"\bcout\b|\bprintf\s*\(|\bputs\s*\(|\bstd::cout\b|\bprint\s*\(|sys\.stdout"
+INCLUDE_PATTERN = r"(?m)^\s*#\s*include\b|^\s*import\b|^\s*from\s+\S+\s+import\b"
 BUILTIN_NAMES = ["self", "cls", "solution", "true", "false", "none", "null", "int_max", "int_min"]
 
 
@@ -67,7 +73,7 @@ def longest_fenced(text: Column) -> Column:
 
 def detect_logic(text: Column) -> Column:
     """struct(has_main, reads_input, writes_output)."""
-    return F.struct(text.rlike(r"\bmain\s*\(|__main__").alias("has_main"), text.rlike(r"\bcin\b|\bscanf\b|\binput\s*\(|\bgetline\b|sys\.stdin").alias("reads_input"), text.rlike(r"\bcout\b|\bprintf\b|\bprint\s*\(|\bputs\b").alias("writes_output"))
+    return F.struct(text.rlike(MAIN_PATTERN).alias("has_main"), text.rlike(INPUT_PATTERN).alias("reads_input"), text.rlike(OUTPUT_PATTERN).alias("writes_output"))
 
 
 def excerpt(text: Column, pattern: str, around: int = 40) -> Column:
@@ -93,7 +99,8 @@ def is_descriptive(name: Column) -> Column:
 def is_explanatory(comment: Column) -> Column:
     words = F.regexp_extract_all(F.lower(comment), F.lit("[a-z]+"), F.lit(0))
     n = F.size(words)
-    return (n >= 5) | ((n >= 4) & comment.rlike(r"[.!?:;,]") & F.arrays_overlap(words, F.array(*(F.lit(c) for c in CUES))))
+    template = F.lower(F.trim(comment_body(comment))).isin(*BOILERPLATE_COMMENTS)
+    return ~template & ((n >= 5) | ((n >= 4) & comment.rlike(r"[.!?:;,]") & F.arrays_overlap(words, F.array(*(F.lit(c) for c in CUES)))))
 
 
 def comment_body(comment: Column) -> Column:
@@ -128,7 +135,7 @@ def removal_issues(stripped: Column, contract: Column) -> Column:
     rules = [
         F.when(logic["has_main"] & (contract == "function_only"), "main_left"),
         F.when(logic["reads_input"] & (contract == "function_only"), "input_left"),
-        F.when(stripped.rlike(r"(?m)^\s*#include|^\s*import "), "imports_left"),
+        F.when(stripped.rlike(INCLUDE_PATTERN), "imports_left"),
         F.when(stripped.rlike(r"//|/\*|(?m)^\s*#(?!include)"), "comments_left"),
         F.when(stripped.rlike(r"\n{3,}"), "blank_runs"),
         F.when(F.trim(stripped) == "", "empty"),
@@ -136,6 +143,26 @@ def removal_issues(stripped: Column, contract: Column) -> Column:
     return F.array_compact(F.array(*rules))
 
 
+def lost_parts(contract: Column, raw: Column, stripped: Column, boilerplate: Column, unavailable: str = "raw_code_unavailable") -> Column:
+    """What stripping took from the raw text though its contract keeps it, as a list of issue names; none for an unavailable text.
+
+    A full program keeps its entry point, reading and writing; a function keeps the author's
+    own writing, and an entry point that no template brought; an unknown contract its entry point."""
+    had, has, given = detect_logic(raw), detect_logic(stripped), detect_logic(boilerplate)
+    gone = lambda part: had[part] & ~has[part]
+    full, function, unknown = (contract == c for c in ("full_program", "function_only", "unknown"))
+    rules = [
+        F.when(full & gone("has_main"), "main_or___main__"),
+        F.when(full & gone("reads_input"), "input_parsing"),
+        F.when(full & gone("writes_output"), "required_output"),
+        F.when(function & gone("writes_output") & ~given["writes_output"], "user_authored_output"),
+        F.when(function & gone("has_main") & ~(given["has_main"] | given["reads_input"] | given["writes_output"]), "main_not_matching_known_template"),
+        F.when(unknown & gone("has_main"), "main_removed_under_unknown_contract"),
+    ]
+    none = F.array().cast("array<string>")
+    return F.when(raw == unavailable, none).otherwise(F.coalesce(F.array_compact(F.array(*rules)), none))
+
+
 def fatal_quota_error(status: Column, message: Column) -> Column:
     return status.isin(402, 403) | F.lower(F.coalesce(message, F.lit(""))).rlike("insufficient|quota|credit")
 

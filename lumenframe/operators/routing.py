@@ -73,16 +73,45 @@ def positional(rows: DataFrame, groups: DataFrame, keys: list[str], position: st
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float, left_id: str, right_id: str) -> DataFrame:
-    """Pairs of equal keys whose values differ by at most the tolerance, each row in one pair.
-
-    Values are dealt to cells of twice the tolerance and looked up in the next cells too,
-    so the range condition becomes an equi-join; k-th partners are then paired by rank."""
-    cell = lambda c: F.floor(c / (2 * tolerance)).cast("long")
-    near = right.select(*keys, right_id, F.col(value).alias("__r"), F.explode(F.array(cell(F.col(value)) - 1, cell(F.col(value)), cell(F.col(value)) + 1)).alias("__cell"))
-    met = left.withColumn("__cell", cell(F.col(value))).join(near, [*keys, "__cell"]).where(F.abs(F.col(value) - F.col("__r")) <= tolerance)
-    a = met.withColumn("__a", F.dense_rank().over(Window.partitionBy(*keys, right_id).orderBy(left_id)))
-    b = a.withColumn("__b", F.dense_rank().over(Window.partitionBy(*keys, left_id).orderBy(right_id)))
-    return b.where(F.col("__a") == F.col("__b")).select(*keys, left_id, right_id, value)
+    """Pairs of equal keys whose values differ by at most the tolerance, each row in one pair at most.
+
+    In order of left_id, each left row takes the least right_id that is free and near. Values
+    of a key fall into runs at gaps over the tolerance. Where a whole run lies within the
+    tolerance, its k-th left row takes its k-th right row, by ranks; only runs that are wider
+    are walked row by row, each for itself."""
+    side = lambda df, i, n: df.select(*keys, F.col(value).cast("double").alias("__v"), F.col(i).alias("__id"), F.lit(n).alias("__side"))
+    both = side(left, left_id, 0).unionByName(side(right, right_id, 1)).where(F.col("__v").isNotNull())
+    order = Window.partitionBy(*keys).orderBy("__v")
+    gap = F.col("__v") - F.lag("__v").over(order) > tolerance
+    runs = both.withColumn("__new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = [*keys, "__run"]
+    spread = runs.groupBy(*run).agg((F.max("__v") - F.min("__v") > tolerance).alias("__wide"), F.min("__side").alias("__lo"), F.max("__side").alias("__hi")).where("__lo < __hi")
+    met = runs.join(spread.select(*run, "__wide"), run)
+    ranked = met.where("not __wide").withColumn("__k", F.row_number().over(Window.partitionBy(*run, "__side").orderBy("__id")))
+    a = ranked.where("__side = 0").select(*run, "__k", F.col("__id").alias("__a"), F.col("__v").alias("__value"))
+    b = ranked.where("__side = 1").select(*run, "__k", F.col("__id").alias("__b"))
+    narrow = a.join(b, [*run, "__k"]).select(*keys, "__a", "__b", "__value")
+
+    def walk(rows):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        ours, theirs = (rows[rows["__side"] == n].sort_values("__id", kind="stable") for n in (0, 1))
+        values, free, found = theirs["__v"].to_numpy(), np.ones(len(theirs), bool), []
+        for own, v in zip(ours["__id"], ours["__v"]):
+            near = np.flatnonzero(free & (np.abs(values - v) <= tolerance))
+            if len(near):
+                free[near[0]] = False
+                found.append((own, theirs["__id"].iloc[near[0]], v))
+        out = pd.DataFrame(found, columns=["__a", "__b", "__value"])
+        for k in reversed(keys):
+            out.insert(0, k, rows[k].iloc[0])
+        return out
+
+    types = {f.name: f.dataType.simpleString() for f in both.schema}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"__a {types['__id']}", f"__b {types['__id']}", "__value double"])
+    wide = met.where("__wide").select(*run, "__v", "__id", "__side").groupBy(*run).applyInPandas(walk, schema)
+    return narrow.unionByName(wide).select(*keys, F.col("__a").alias(left_id), F.col("__b").alias(right_id), F.col("__value").alias(value))
 
 
 def with_unique_fallback(rows: DataFrame, items: DataFrame, id_col: str, keys: list[str], value: str) -> DataFrame:
@@ -93,14 +122,23 @@ def with_unique_fallback(rows: DataFrame, items: DataFrame, id_col: str, keys: l
 
 
 def candidate_disposition(rows: DataFrame, keys: list[str], order: list[str], stages: list[tuple[str, Column]], eligible: str = "eligible", duplicate: str = "duplicate") -> DataFrame:
-    """rows with a disposition: the first stage that holds, else eligible for the first of its keys and duplicate for later ones."""
+    """rows with a disposition: the first stage that holds, else eligible for the first of its keys and duplicate for later ones.
+
+    order tells rows of a key apart. The first of a key is a partial aggregate, so a key that
+    holds much of the table is a row for each task before it is shuffled."""
     chain = None
     for name, holds in stages:
         chain = F.when(holds, name) if chain is None else chain.when(holds, name)
     marked = rows.withColumn("disposition", chain)
-    first = Window.partitionBy(*keys, F.col("disposition").isNull()).orderBy(*order)
-    survivor = F.when(F.row_number().over(first) == 1, eligible).otherwise(duplicate)
-    return marked.withColumn("disposition", F.coalesce("disposition", survivor))
+    place = F.struct(*order)
+    first = marked.where(F.col("disposition").isNull()).groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min(place).alias("__first"))
+    same = F.col("__first").eqNullSafe(place)
+    for k in keys:
+        same = same & F.col(f"__{k}").eqNullSafe(F.col(k))
+    firsts = first.withColumn("__survives", F.lit(True))
+    met = marked.join(firsts, same, "left")
+    survivor = F.when(F.col("__survives"), eligible).otherwise(duplicate)
+    return met.withColumn("disposition", F.coalesce("disposition", survivor)).drop("__first", "__survives", *(f"__{k}" for k in keys))
 
 
 def plan_units(*frames: DataFrame) -> DataFrame:

@@ -122,9 +122,10 @@ def positional_lookup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", F.trim("text").alias("text"))
 
 
-@query("""WITH m AS (SELECT a.event_type, a.event_id AS left_id, b.event_id AS right_id, a.value FROM events a JOIN events b ON a.event_type = b.event_type AND abs(a.value - b.value) <= 1e-9 WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1),
-r AS (SELECT *, dense_rank() OVER (PARTITION BY event_type, right_id ORDER BY left_id) AS x, dense_rank() OVER (PARTITION BY event_type, left_id ORDER BY right_id) AS y FROM m)
-SELECT event_type, left_id, right_id, value FROM r WHERE x = y""")
+@query("""WITH o AS (SELECT event_type, event_id, value, event_id % 2 AS side, CASE WHEN value - lag(value) OVER w > 1e-9 THEN 1 ELSE 0 END AS new FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY value)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY value ROWS UNBOUNDED PRECEDING) AS run FROM o),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type, run, side ORDER BY event_id) AS k FROM r)
+SELECT a.event_type, a.event_id AS left_id, b.event_id AS right_id, a.value FROM k a JOIN k b USING (event_type, run, k) WHERE a.side = 0 AND b.side = 1""")
 def tolerance_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", "event_id", "value")
     return routing.one_to_one(e.where("event_id % 2 = 0").withColumnRenamed("event_id", "left_id"), e.where("event_id % 2 = 1").withColumnRenamed("event_id", "right_id"), ["event_type"], "value", 1e-9, "left_id", "right_id")
@@ -423,33 +424,19 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     return reports.reject_reasons(table(spark, d, "part").select(F.replace("p_type", F.lit(" "), F.lit(":")).alias("why")), "why")
 
 
-_VOTES = "v AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'human' WHEN 'view' THEN 'human' WHEN 'purchase' THEN 'ai' WHEN 'signup' THEN 'mixed' ELSE 'error' END AS verdict, CASE WHEN event_type IN ('click', 'view') THEN 84.0 + event_id % 5 WHEN event_type = 'purchase' THEN event_id % 17 + 0.0 WHEN event_type = 'signup' THEN 50.0 END AS p FROM events WHERE event_id % 37 = 0)"
-
-
-@query(f"""WITH {_VOTES}, s AS (SELECT user_id, count_if(verdict <> 'error' AND p IS NOT NULL) AS n, count_if(verdict = 'error') AS e, bool_and(verdict = 'human' AND p >= 85) FILTER (verdict <> 'error' AND p IS NOT NULL) AS h, bool_and(verdict = 'ai' AND 100 - p >= 85) FILTER (verdict <> 'error' AND p IS NOT NULL) AS a FROM v GROUP BY user_id),
-r AS (SELECT c.c_custkey AS user_id, coalesce(s.n, 0) AS n, coalesce(s.e, 0) AS e, h, a, CASE WHEN c_acctbal < -500 THEN 'raw_missing' WHEN c_custkey % 120 < 60 AND c_custkey % 7 = 0 THEN 'too_short' WHEN coalesce(s.n, 0) = 0 AND coalesce(s.e, 0) > 0 THEN 'detector_error' WHEN coalesce(s.n, 0) = 0 THEN 'no_votes' WHEN s.n < 2 THEN 'too_few_votes' END AS reason FROM customer c LEFT JOIN s ON s.user_id = c.c_custkey)
-SELECT user_id, n::BIGINT AS n_responding, e::BIGINT AS n_errors, CASE WHEN reason = 'too_few_votes' THEN 'unsure' WHEN reason IS NOT NULL THEN 'skipped' WHEN h THEN 'human' WHEN a THEN 'ai' ELSE 'unsure' END AS label, reason FROM r""")
-def detector_consensus(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 37 = 0")
-    kind, i = F.col("event_type"), F.col("event_id")
-    verdict = F.when(kind.isin("click", "view"), "human").when(kind == "purchase", "ai").when(kind == "signup", "mixed").otherwise("error")
-    p = F.when(kind.isin("click", "view"), 84.0 + i % 5).when(kind == "purchase", (i % 17).cast("double")).when(kind == "signup", F.lit(50.0))
-    return _decided(spark, d, e.select("user_id", verdict.alias("verdict"), p.alias("human_probability")))
-
-
 def _decided(spark: SparkSession, d: str, votes: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     records = table(spark, d, "customer").select(k.alias("user_id"), (F.col("c_acctbal") >= -500).alias("raw"), F.when((k % 120 < 60) & (k % 7 == 0), 10).otherwise(100).alias("tokens"))
     return consensus.decide(records, votes, "user_id", F.col("raw"), F.col("tokens")).drop("raw", "tokens")
 
 
-_ALL_VOTES = "v AS (SELECT user_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') OR user_id % 11 = 4 THEN 'error' WHEN user_id % 11 IN (1, 2) THEN 'human' WHEN user_id % 11 = 3 THEN 'ai' WHEN event_type IN ('click', 'view') THEN 'human' WHEN event_type = 'purchase' THEN 'ai' ELSE 'mixed' END AS verdict, CASE WHEN user_id % 11 = 5 AND event_id % 50 > 0 THEN NULL WHEN user_id % 11 IN (1, 2) THEN 85.0 + event_id % 5 WHEN user_id % 11 = 3 THEN event_id % 15 + 0.0 WHEN event_type IN ('click', 'view') THEN 84.0 + event_id % 5 WHEN event_type = 'purchase' THEN event_id % 17 + 0.0 WHEN event_type = 'signup' THEN 50.0 END AS p FROM events)"
+_VOTES = "v AS (SELECT user_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') OR user_id % 11 = 4 THEN 'error' WHEN user_id % 11 IN (1, 2) THEN 'human' WHEN user_id % 11 = 3 THEN 'ai' WHEN event_type IN ('click', 'view') THEN 'human' WHEN event_type = 'purchase' THEN 'ai' ELSE 'mixed' END AS verdict, CASE WHEN user_id % 11 = 5 AND event_id % 50 > 0 THEN NULL WHEN user_id % 11 IN (1, 2) THEN 85.0 + event_id % 5 WHEN user_id % 11 = 3 THEN event_id % 15 + 0.0 WHEN event_type IN ('click', 'view') THEN 84.0 + event_id % 5 WHEN event_type = 'purchase' THEN event_id % 17 + 0.0 WHEN event_type = 'signup' THEN 50.0 END AS p FROM events)"
 
 
-@query(f"""WITH {_ALL_VOTES}, s AS (SELECT user_id, count_if(verdict <> 'error' AND p IS NOT NULL) AS n, count_if(verdict = 'error') AS e, bool_and(verdict = 'human' AND p >= 85) FILTER (verdict <> 'error' AND p IS NOT NULL) AS h, bool_and(verdict = 'ai' AND 100 - p >= 85) FILTER (verdict <> 'error' AND p IS NOT NULL) AS a FROM v GROUP BY user_id),
+@query(f"""WITH {_VOTES}, s AS (SELECT user_id, count_if(verdict <> 'error' AND p IS NOT NULL) AS n, count_if(verdict = 'error') AS e, bool_and(verdict = 'human' AND p >= 85) FILTER (verdict <> 'error' AND p IS NOT NULL) AS h, bool_and(verdict = 'ai' AND 100 - p >= 85) FILTER (verdict <> 'error' AND p IS NOT NULL) AS a FROM v GROUP BY user_id),
 r AS (SELECT c.c_custkey AS user_id, coalesce(s.n, 0) AS n, coalesce(s.e, 0) AS e, h, a, CASE WHEN c_acctbal < -500 THEN 'raw_missing' WHEN c_custkey % 120 < 60 AND c_custkey % 7 = 0 THEN 'too_short' WHEN coalesce(s.n, 0) = 0 AND coalesce(s.e, 0) > 0 THEN 'detector_error' WHEN coalesce(s.n, 0) = 0 THEN 'no_votes' WHEN s.n < 2 THEN 'too_few_votes' END AS reason FROM customer c LEFT JOIN s ON s.user_id = c.c_custkey)
 SELECT user_id, n::BIGINT AS n_responding, e::BIGINT AS n_errors, CASE WHEN reason = 'too_few_votes' THEN 'unsure' WHEN reason IS NOT NULL THEN 'skipped' WHEN h THEN 'human' WHEN a THEN 'ai' ELSE 'unsure' END AS label, reason FROM r""")
-def detector_consensus_all(spark: SparkSession, d: str) -> DataFrame:
+def detector_consensus(spark: SparkSession, d: str) -> DataFrame:
     """Every event is a vote; a few users' detectors agree, err or are silent."""
     kind, i, g = F.col("event_type"), F.col("event_id"), F.col("user_id") % 11
     known = F.coalesce(kind.isin("click", "view", "purchase", "signup"), F.lit(False))
@@ -509,14 +496,8 @@ def capped_review_batch(spark: SparkSession, d: str) -> DataFrame:
     return sampling.capped_batch(banded, "doc_id", 15042, 150, "lang", "de", 75, ["lang", "source"], 3, "band", 12).select("doc_id", "lang", "source", "band", "phase")
 
 
-@query("SELECT DISTINCT label FROM embeddings WHERE vec_id < 250 INTERSECT SELECT DISTINCT label FROM embeddings WHERE vec_id >= 300")
-def bank_intersection(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return banks.shared_keys(e.where("vec_id < 250"), e.where("vec_id >= 300"), ["label"])
-
-
 @query("SELECT DISTINCT label FROM embeddings WHERE vec_id % 2 = 0 INTERSECT SELECT DISTINCT label FROM embeddings WHERE vec_id % 2 <> 0")
-def bank_intersection_all(spark: SparkSession, d: str) -> DataFrame:
+def bank_intersection(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return banks.shared_keys(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 <> 0"), ["label"])
 

@@ -157,3 +157,22 @@ def test_top_ups(spark):
     assert len(rows) == 15 and sum(r["tags"] == ["T"] for r in rows) == 4 and len({r["id"] for r in rows}) == 15
     assert sampling.review_records(pool, "id", ["d"], F.col("id") == 39, 2, 5, 1).where("id = 39").count() == 1
     assert sampling.language_mix(pool, "d", "HARD", 10, ["id"]).groupBy("d").count().count() == 2
+
+
+def test_one_to_one_is_greedy_and_uses_each_row_once(spark):
+    import random
+
+    from lumenframe.operators.routing import one_to_one
+
+    rng = random.Random(6)
+    for tolerance, step in ((1.0, 1.0), (0.6, 0.5), (0.25, 0.5), (3.0, 0.7)):
+        left, right = ([(rng.choice("ab"), i, step * rng.randint(0, 9)) for i in range(14)] for _ in "lr")
+        want, used = set(), set()
+        for k, i, v in sorted(left, key=lambda r: r[1]):
+            j = next((j for q, j, w in sorted(right, key=lambda r: r[1]) if q == k and j not in used and abs(v - w) <= tolerance), None)
+            if j is not None:
+                used.add(j)
+                want.add((k, i, j))
+        frames = [spark.createDataFrame(rows, f"k string, {n} int, v double") for rows, n in ((left, "l"), (right, "r"))]
+        got = [(r["k"], r["l"], r["r"]) for r in one_to_one(*frames, ["k"], "v", tolerance, "l", "r").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
