@@ -173,13 +173,14 @@ def connected(edges: DataFrame, label: str = "components") -> tuple[DataFrame, l
     state = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        # a node may have any number of neighbours
+        least, least_path = write_scratch(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), label)
+        large = join_spread(both.where("v > u"), least.select("u", "m"), ["u"], least, "n", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         now, path = write_scratch(out, label)
-        drop_scratch(spark, *paths)
+        drop_scratch(spark, least_path, *paths)
         paths = [path]
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
