@@ -39,7 +39,7 @@ ORDER = 4
 #: A text is rejected when its cross-entropy lies more than so many standard deviations above the mean of calibration texts of its language and length, and above all of them.
 REJECT_DEVIATIONS = 6.0
 #: The least standard deviation, as a share of the mean.
-LEAST_DEVIATION = 0.01
+LEAST_DEVIATION = 0.02
 #: Lengths are told apart by their log2, up to this one.
 LENGTHS = 40
 MOST_RUNS = 400_000
