@@ -99,7 +99,8 @@ class Models:
         self.tables: list[dict[str, np.ndarray]] = []
         self.unseen = np.zeros(n)
         for k in range(order):
-            every = np.unique(np.concatenate([r[k]["h"] for r in raw]))
+            # contexts of start marks end no gram, but have back-off weights too
+            every = np.unique(np.concatenate([r[k]["h"] for r in raw] + [r[k + 1]["ctx"] for r in raw if k + 1 < order]))
             ctx, low = np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64)
             for r in raw:
                 at = np.searchsorted(every, r[k]["h"])
