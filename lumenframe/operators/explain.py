@@ -28,14 +28,24 @@ def diversity_section(diversity: Column, cut: float = params.CARD_DIVERSITY) ->
     return _section("Known approaches", F.when(diversity < cut, "Few distinct approaches are known for this question.").otherwise("Many distinct approaches are known for this question."))
 
 
-def status_section(status: Column) -> Column:
-    body = F.when(status == "scored", "Scored.").when(status == "low_confidence_short", "Scored with low confidence: the code is short.").when(status == "low_confidence", "Not scored: the references are too alike.").otherwise("Not scored: too little code.")
-    return _section("Scoring", body)
+def human_section(commented_out: Column) -> Column:
+    """A section where code is commented out, null elsewhere."""
+    return F.when(commented_out, _section("Human-leaning signals", F.lit("Some code is commented out, as debugging leaves it. This leans human; it is no sign of generation.")))
 
 
-def scored_card(percent: Column, has_match: Column, line_start: Column, line_end: Column, diversity: Column, status: Column, naming: Column) -> Column:
+def status_section(status: Column, reason: Column | None = None) -> Column:
+    """What the status says; a status of another name gives the reason."""
+    body = F.when(status == "scored", "Scored.").when(status == "low_confidence_short", "Scored with low confidence: the code is short.").when(status == "low_confidence", "Not scored: the references are too alike.")
+    short = F.lit("Not scored: too little code.")
+    if reason is not None:
+        short = F.when((status == "insufficient_evidence") | status.isNull() | reason.isNull(), short).otherwise(F.concat(F.lit("Not scored: "), F.replace(reason, F.lit("_"), F.lit(" ")), F.lit(".")))
+    return _section("Scoring", body.otherwise(short))
+
+
+def scored_card(percent: Column, has_match: Column, line_start: Column, line_end: Column, diversity: Column, status: Column, naming: Column, commented_out: Column | None = None) -> Column:
     note = F.when(naming, _section("Naming", F.lit("Most local names are descriptive.")))
-    return F.array_compact(F.array(match_section(percent), structure_section(has_match, line_start, line_end), diversity_section(diversity), status_section(status), note))
+    human = [] if commented_out is None else [human_section(commented_out)]
+    return F.array_compact(F.array(match_section(percent), structure_section(has_match, line_start, line_end), diversity_section(diversity), *human, status_section(status), note))
 
 
 def unscored_card(status: Column, reason: Column) -> Column:

@@ -176,3 +176,13 @@ def test_one_to_one_is_greedy_and_uses_each_row_once(spark):
         frames = [spark.createDataFrame(rows, f"k string, {n} int, v double") for rows, n in ((left, "l"), (right, "r"))]
         got = [(r["k"], r["l"], r["r"]) for r in one_to_one(*frames, ["k"], "v", tolerance, "l", "r").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_human_leaning_section(spark):
+    from lumenframe.operators import explain
+
+    df = spark.createDataFrame([(1, True, "scored", None), (2, False, "other", "missing_cluster"), (3, None, "insufficient_evidence", "x")], "i int, c boolean, s string, r string")
+    card = explain.scored_card(F.lit(80), F.lit(True), F.lit(1), F.lit(2), F.lit(0.5), F.col("s"), F.lit(False), F.col("c"))
+    got = {r["i"]: ([x["heading"] for x in r["card"]], r["st"]["body"]) for r in df.select("i", card.alias("card"), explain.status_section(F.col("s"), F.col("r")).alias("st")).collect()}
+    assert "Human-leaning signals" in got[1][0] and all("Human-leaning signals" not in got[i][0] for i in (2, 3))
+    assert [got[i][1] for i in (1, 2, 3)] == ["Scored.", "Not scored: missing cluster.", "Not scored: too little code."]
