@@ -538,7 +538,7 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.absent"), F.get_json_object("props", "$.k")).alias("first_of"))
 
 
-@query(r"""SELECT page_id, regexp_matches(html, '\bmain\s*\(|__main__') AS has_main, regexp_matches(html, '\bcin\b|\bscanf\b|\binput\s*\(|\bgetline\b|sys\.stdin') AS reads_input, regexp_matches(html, '\bcout\b|\bprintf\b|\bprint\s*\(|\bputs\b') AS writes_output, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang FROM pages""")
+@query(f"""SELECT page_id, regexp_matches(html, '{T.MAIN_PATTERN}') AS has_main, regexp_matches(html, '{T.INPUT_PATTERN}') AS reads_input, regexp_matches(html, '{T.OUTPUT_PATTERN}') AS writes_output, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang FROM pages""")
 def logic_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.detect_logic(F.col("html")).alias("f"), F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("lang")).select("page_id", "f.*", "lang")
 
