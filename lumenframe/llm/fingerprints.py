@@ -111,9 +111,13 @@ def id_ranges(ids: DataFrame, most: int) -> tuple[DataFrame, list[tuple[int, int
             parts = min(max(2, count // limit), PARTS, hi - lo + 1, max(2, (MOST_RANGES - used) // len(big)))
             rows.append((r, lo, -(-(hi - lo + 1) // parts), used))
             used += parts
-        cuts = F.broadcast(spark.createDataFrame(rows, "__range long, __lo long, __width long, __first long"))  # MOST_RANGES rows at most
-        cut = F.expr("__first + (__id - __lo) div __width")
-        now = now.join(cuts, "__range", "left").withColumn("__range", F.coalesce(cut, F.col("__range"))).drop("__lo", "__width", "__first")
+        if 0 in big:  # the first round cuts the one range that holds all rows, so it needs no join
+            _, lo, width, first = rows[0]
+            now = now.withColumn("__range", F.expr(f"{first}L + (__id - ({lo}L)) div {width}L"))
+        else:
+            cuts = F.broadcast(spark.createDataFrame(rows, "__range long, __lo long, __width long, __first long"))  # MOST_RANGES rows at most
+            cut = F.expr("__first + (__id - __lo) div __width")
+            now = now.join(cuts, "__range", "left").withColumn("__range", F.coalesce(cut, F.col("__range"))).drop("__lo", "__width", "__first")
         firsts = min(r[3] for r in rows)
         found = {r["__range"]: (r["lo"], r["hi"], r["n"]) for r in now.where(F.col("__range") >= firsts).groupBy("__range").agg(F.min("__id").alias("lo"), F.max("__id").alias("hi"), F.count("*").alias("n")).collect()}
         for r in big:

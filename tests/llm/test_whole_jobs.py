@@ -48,3 +48,12 @@ def test_shapes_have_room_for_every_unit(spark):
     rows = pii.assign(spark.createDataFrame(units, "kind string, canon string"))[0].collect()
     new = {r["new"] for r in rows}
     assert len(rows) == len(new) == len(units) and not new & {u for _, u in units}
+
+
+def test_next_of_far_ids_needs_no_cross_join(spark):
+    ids = [*range(-500, 500), 1 << 61, 7, 7, None, None]
+    rows = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").withColumn("__tie", F.xxhash64("text"))
+    out = fingerprints.neighbours(rows, ["text"], range_rows=50)
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    order = [r["text"] for r in sorted(rows.collect(), key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -501), r["__tie"]))]
+    assert {r["text"]: r["next_text"] for r in out.collect()} == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
