@@ -37,7 +37,12 @@ def _counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """by, auroc: the share of (positive, negative) pairs in order, ties half; null without both classes."""
-    run = running(_counts(df, score, label, by), score, ["pos", "neg"], by)
+    return auroc_of_counts(_counts(df, score, label, by), score, by)
+
+
+def auroc_of_counts(counts: DataFrame, score: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """auroc from a row (by, score, pos, neg) for each score."""
+    run = running(counts, score, ["pos", "neg"], by)
     won = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") / 2))
     out = run.groupBy(*by).agg(won.alias("__w"), F.max("pos_all").alias("n_pos"), F.max("neg_all").alias("n_neg"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
@@ -52,7 +57,11 @@ def macro_auroc(df: DataFrame, score: str, label: str, group: str) -> DataFrame:
 
 def linear_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] = []) -> DataFrame:  # noqa: B006
     """by, and a column for each named probability: quantiles between the two nearest ranks."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return linear_quantiles_of_counts(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), value, probs, by)
+
+
+def linear_quantiles_of_counts(counts: DataFrame, value: str, probs: dict[str, float], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """linear_quantiles from a row (by, value, n) for each value."""
     run = running(counts, value, ["n"], by)
     aggs = []
     for name, p in probs.items():
@@ -105,7 +114,11 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
 
 def conservative_threshold(negatives: DataFrame, score: str, target: float, by: list[str] = []) -> DataFrame:  # noqa: B006
     """by, threshold: the least score seen that at most `target` of the negatives reach; just above all if none does."""
-    counts = negatives.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"))
+    return conservative_of_counts(negatives.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n")), score, target, by)
+
+
+def conservative_of_counts(counts: DataFrame, score: str, target: float, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """conservative_threshold from a row (by, score, n) for each score."""
     run = running(counts, score, ["n"], by, descending=True)
     least = F.min(F.when(F.col("n_upto") / F.col("n_all") <= F.lit(float(target)), F.col(score)))
     above = F.expr(f"java_method('java.lang.Math', 'nextUp', max(cast({score} as double)))").cast("double")
@@ -162,7 +175,8 @@ def bootstrap(rows: DataFrame, group: str, replicates: int, seed: int, metric: C
     return slots.withColumn("__g", draw).join(F.broadcast(numbered), "__g").groupBy("replicate").agg(metric.alias(name))
 
 
-def interval(values: DataFrame, value: str) -> DataFrame:
-    """mean and the 2.5 and 97.5 % quantiles of values that are numbers."""
+def interval(values: DataFrame, value: str, count: str = "") -> DataFrame:
+    """mean and the 2.5 and 97.5 % quantiles of values that are numbers, and how many they are in a column `count`, if named."""
     finite = values.where(F.col(value).isNotNull() & ~F.isnan(value))
-    return finite.agg(F.avg(value).alias("mean")).crossJoin(linear_quantiles(finite, value, {"low": 0.025, "high": 0.975}))  # one row each
+    sums = [F.avg(value).alias("mean"), *([F.count(value).alias(count)] if count else [])]
+    return finite.agg(*sums).crossJoin(linear_quantiles(finite, value, {"low": 0.025, "high": 0.975}))  # one row each

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import text as T
-from lumenframe.operators import banks, consensus, dedup, explain, metrics, reports, routing, sampling, scoring, vectors
+from lumenframe.operators import banks, consensus, dedup, explain, metrics, reports, resampling, routing, sampling, scoring, vectors
 from lumenframe.sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,6 +335,52 @@ def clustered_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return metrics.interval(values, "value").select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
+def _two_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return docs.select("source", "lang", F.col("toxic").alias("y"), ((F.col("n_chars") % 1000 + 150 * F.col("toxic")) / 1150.0).alias("s"), ((F.col("n_chars") % 700 + 200 * F.col("toxic")) / 900.0).alias("t"))
+
+
+def _drawn_sql(replicates: int) -> str:
+    """Scores of _two_scores, groups in the order of a seeded hash, slots of every replicate."""
+    return f"""WITH x AS (SELECT d.source, d.lang, l.toxic AS y, (d.n_chars % 1000 + 150 * l.toxic)::DOUBLE / 1150.0 AS s, (d.n_chars % 700 + 200 * l.toxic)::DOUBLE / 900.0 AS t FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+g AS (SELECT source, row_number() OVER (ORDER BY sha256('500:' || source)) - 1 AS k FROM (SELECT DISTINCT source FROM x WHERE source IS NOT NULL)),
+n AS (SELECT count(*) AS n FROM g),
+dr AS (SELECT r.i AS replicate, q.k AS slot, ('0x' || substr(sha256('500:' || r.i || ':' || q.k), 1, 8))::BIGINT % n.n AS k FROM range({replicates}) r(i) CROSS JOIN g q CROSS JOIN n),
+z AS (SELECT dr.replicate, dr.slot, x.* FROM dr JOIN g ON g.k = dr.k JOIN x ON x.source = g.source)"""
+
+
+def _won_sql(score: str, by: str) -> str:
+    """AUROC by ranks of the rows of z."""
+    return f"""SELECT {by}, CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN (sum(CASE WHEN y = 1 THEN k ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y)::DOUBLE * (count(*) - sum(y))) END AS a FROM (SELECT {by}, y, rank() OVER (PARTITION BY {by} ORDER BY {score}) + (count(*) OVER (PARTITION BY {by}, {score}) - 1) / 2.0 AS k FROM z) GROUP BY {by}"""
+
+
+@query(f"""{_drawn_sql(40)}, ps AS ({_won_sql("s", "replicate")}), pt AS ({_won_sql("t", "replicate")}), ms AS (SELECT replicate, avg(a) AS a FROM ({_won_sql("s", "replicate, slot")}) GROUP BY replicate), mt AS (SELECT replicate, avg(a) AS a FROM ({_won_sql("t", "replicate, slot")}) GROUP BY replicate),
+v AS (SELECT 'pooled' AS kind, ps.a - pt.a AS v FROM ps JOIN pt ON ps.replicate = pt.replicate UNION ALL SELECT 'macro', ms.a - mt.a FROM ms JOIN mt ON ms.replicate = mt.replicate)
+SELECT kind, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v GROUP BY kind""")
+def bootstrap_auroc_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the differences of pooled and macro AUROC of two scores, over sources drawn with replacement."""
+    out = resampling.deltas(_two_scores(spark, d), "source", "s", "t", "y", "lang", 40, 500, ["pooled", "macro"])
+    return out.select("kind", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+@query(f"""{_drawn_sql(100)}, th AS (SELECT lang, quantile_cont(s, 0.95) AS th FROM x WHERE y = 0 GROUP BY lang),
+v AS (SELECT replicate, avg((s >= th)::INTEGER) AS v FROM z JOIN th ON z.lang = th.lang WHERE y = 1 GROUP BY replicate)
+SELECT count(*) AS samples, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v""")
+def bootstrap_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the recall at each language's threshold, over sources drawn with replacement."""
+    x = _two_scores(spark, d)
+    cut = metrics.quantile_threshold(x.where("y = 0"), "s", 0.05, ["lang"])
+    values = resampling.recall_at(x, resampling.draws(x, "source", 100, 500), "source", "s", "y", cut, ["lang"])
+    out = metrics.interval(values, "value", "samples")
+    return out.select("samples", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
+@query()
+def bootstrap_point_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the differences of the six recalls, over sources drawn with replacement."""
+    return resampling.deltas(_two_scores(spark, d), "source", "s", "t", "y", "lang", 20, 500, resampling.KINDS[2:])
+
+
 @query("SELECT doc_id, round(1.0 / count(*) OVER (PARTITION BY lang, text), 9) AS weight, count(*) OVER (PARTITION BY lang, text) AS group_size FROM documents")
 def duplicate_weights(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", T.text_hash(F.col("text")).alias("hash"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import consensus, metrics, routing, scoring, vectors
+from lumenframe.operators import consensus, metrics, resampling, routing, scoring, vectors
 from lumenframe.sources import readers, sinks
 
 
@@ -186,3 +186,58 @@ def test_human_leaning_section(spark):
     got = {r["i"]: ([x["heading"] for x in r["card"]], r["st"]["body"]) for r in df.select("i", card.alias("card"), explain.status_section(F.col("s"), F.col("r")).alias("st")).collect()}
     assert "Human-leaning signals" in got[1][0] and all("Human-leaning signals" not in got[i][0] for i in (2, 3))
     assert [got[i][1] for i in (1, 2, 3)] == ["Scored.", "Not scored: missing cluster.", "Not scored: too little code."]
+
+
+def _plain_auroc(rows):
+    pos, neg = ([s for s, y in rows if y == k] for k in (1, 0))
+    return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+
+def _plain_cut(neg, target):
+    reach = [s for s in set(neg) if sum(x >= s for x in neg) <= target * len(neg)]
+    return min(reach) if reach else math.nextafter(max(neg), math.inf)
+
+
+def _plain_quantile(values, p):
+    v, at = sorted(values), p * (len(values) - 1)
+    low = math.floor(at)
+    return v[low] + (v[math.ceil(at)] - v[low]) * (at - low)
+
+
+def test_bootstrap_metrics_by_replicate(spark):
+    random.seed(11)
+    data = [(f"g{random.randrange(9)}", random.choice("ab"), random.randrange(2), random.randrange(30) / 10) for _ in range(240)]
+    data += [("only", "a", 1, 2.5), ("g1", "b", None, 1.0), ("g1", "b", 1, None), (None, "a", 1, 1.0)]
+    rows = spark.createDataFrame(data, "g string, lang string, y int, s double")
+    drawn = resampling.draws(rows, "g", 6, 3).cache()
+    picks = [r.asDict() for r in drawn.collect()]
+    names = {g for g, *_ in data if g}
+    assert all(sum(p["times"] for p in picks if p["replicate"] == r) == len(names) for r in range(6))
+    whole = [(g, lang, y, s) for g, lang, y, s in data if g and y is not None and s is not None]
+    for kind in resampling.KINDS:
+        got = {r["replicate"]: r["value"] for r in resampling.metric(kind, rows, drawn, "g", "s", "y", "lang").collect()}
+        for r in range(6):
+            copies = [(p["fold"], [x for x in whole if x[0] == p["g"]]) for p in picks if p["replicate"] == r for _ in range(p["times"])]
+            flat = [(f, lang, y, s) for f, c in copies for _, lang, y, s in c]
+            if kind == "pooled":
+                want = _plain_auroc([(s, y) for *_, y, s in flat])
+            elif kind == "macro":
+                each = [a for a in (_plain_auroc([(s, y) for *_, y, s in c]) for _, c in copies) if a is not None]
+                want = sum(each) / len(each)
+            else:
+                target = resampling.TARGETS[kind.rsplit("_", 1)[-1]]
+                hits = []
+                for f, lang, y, s in flat:
+                    if y == 1 and kind in resampling.TARGETS:
+                        hits.append(s >= _plain_quantile([x[3] for x in flat if x[2] == 0], 1 - target))
+                    elif y == 1:
+                        neg = [x[3] for x in flat if x[2] == 0 and x[0] != f and (x[1] == lang or not kind.startswith("calibrated"))]
+                        hits += [s >= _plain_cut(neg, target)] if neg else []
+                want = sum(hits) / len(hits)
+            assert got[r] == pytest.approx(want), (kind, r)
+
+
+def test_bootstrap_of_nothing(spark):
+    rows = spark.createDataFrame([], "g string, lang string, y int, s double, t double")
+    out = resampling.deltas(rows, "g", "s", "t", "y", "lang", 3, 1, ["pooled", "r5"]).collect()
+    assert [(r["kind"], r["mean"], r["low"]) for r in out] == [("pooled", None, None), ("r5", None, None)]
