@@ -117,10 +117,12 @@ KINDS = ["pooled", "macro", *TARGETS, *(f"{p}_{t}" for p in ("oof", "calibrated_
 def deltas(rows: DataFrame, group: str, score: str, other: str, label: str, language: str, replicates: int, seed: int, kinds: list[str] = KINDS) -> DataFrame:
     """kind, mean, low, high of metric(score) - metric(other) over replicates that have both."""
     drawn = draws(rows, group, replicates, seed)
-    out = None
+    each = None
     for kind in kinds:
         a, b = (metric(kind, rows, drawn, group, s, label, language).withColumnRenamed("value", n) for s, n in ((score, "a"), (other, "b")))
-        each = a.join(b, "replicate").select((F.col("a") - F.col("b")).alias("value"))
-        one = metrics.interval(each, "value").select(F.lit(kind).alias("kind"), "mean", "low", "high")
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = a.join(b, "replicate").select(F.lit(kind).alias("kind"), (F.col("a") - F.col("b")).alias("value"))
+        each = one if each is None else each.unionByName(one)
+    ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))  # of a value for each replicate
+    found = each.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("kind").agg(F.avg("value").alias("mean"), ends.alias("e"))
+    every = rows.sparkSession.createDataFrame([(k,) for k in kinds], "kind string")
+    return every.join(F.broadcast(found), "kind", "left").select("kind", "mean", F.get("e", F.lit(0)).alias("low"), F.get("e", F.lit(1)).alias("high"))  # a row for each kind
