@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,8 @@ def decide(records: DataFrame, votes: DataFrame, id_col: str, has_raw: Column, t
     reason = F.when(~has_raw, "raw_missing").when(tokens < least_tokens, "too_short").when((n == 0) & (errors > 0), "detector_error").when(n == 0, "no_votes").when(n < least_votes, "too_few_votes")
     label = F.when(reason.isin("raw_missing", "too_short", "detector_error", "no_votes"), "skipped").when(reason.isNotNull(), "unsure").when(F.col("__human"), "human").when(F.col("__ai"), "ai").otherwise("unsure")
     return joined.select(*records.columns, n.alias("n_responding"), errors.alias("n_errors"), label.alias("label"), reason.alias("reason"))
+
+
+def configured(settings: Mapping[str, str | None], needed: Mapping[str, Sequence[str]]) -> dict[str, bool]:
+    """For each detector, if every setting that it needs holds more than blanks."""
+    return {name: all((settings.get(k) or "").strip() for k in keys) for name, keys in needed.items()}

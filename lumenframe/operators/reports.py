@@ -93,3 +93,13 @@ def flattened(counts: dict[str, DataFrame]) -> DataFrame:
         part = df.select(F.lit(section).alias("section"), F.col(df.columns[0]).cast("string").alias("name"), F.col(df.columns[1]).cast("long").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def latency(outcomes: DataFrame, model: str, seconds: str) -> DataFrame:
+    """model, n, mean (two places), min and max of the seconds of its outcomes."""
+    return outcomes.groupBy(model).agg(F.count(seconds).alias("n"), F.round(F.avg(seconds), 2).alias("mean"), F.min(seconds).alias("min"), F.max(seconds).alias("max"))
+
+
+def ids_of(labelled: DataFrame, id_col: str, label: str, value: str | int) -> DataFrame:
+    """The ids of a label, as text."""
+    return labelled.where(F.col(label) == value).select(F.col(id_col).cast("string").alias(id_col))

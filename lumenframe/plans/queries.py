@@ -335,6 +335,16 @@ def clustered_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return metrics.interval(values, "value").select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
+@query("SELECT event_type, count(value) AS n, round(avg(value), 2) AS mean, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
+def latency_by_model(spark: SparkSession, d: str) -> DataFrame:
+    return reports.latency(table(spark, d, "events"), "event_type", "value")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id FROM labels WHERE toxic = 1")
+def ids_for_label(spark: SparkSession, d: str) -> DataFrame:
+    return reports.ids_of(table(spark, d, "labels"), "doc_id", "toxic", 1)
+
+
 def _two_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     return docs.select("source", "lang", F.col("toxic").alias("y"), ((F.col("n_chars") % 1000 + 150 * F.col("toxic")) / 1150.0).alias("s"), ((F.col("n_chars") % 700 + 200 * F.col("toxic")) / 900.0).alias("t"))

@@ -21,12 +21,13 @@ def integrity(requests: DataFrame) -> DataFrame:
     return s.withColumn("integrity", reason).drop("__s")
 
 
-def score_submissions(requests: DataFrame, bank: DataFrame, cache: DataFrame, model: str, anchors: params.Anchors = params.Anchors()) -> DataFrame:
+def score_submissions(requests: DataFrame, bank: DataFrame, cache: DataFrame, model: str, anchors: params.Anchors = params.Anchors(), texts: DataFrame | None = None) -> DataFrame:
     """One row for each request (request_id): status, reason, score, percent, exact_match, nearest vector_id and card.
 
     bank: long-form (question_id, language, vector_id, embedding, stripped_hash); cache:
-    vectors by cache key. Gates come before vectors: a row that fails one has none looked up
-    and a null score."""
+    vectors by cache key; texts: (question_id, language, vector_id, text) of references, for
+    the lines that a card names. Gates come before vectors: a row that fails one has none
+    looked up and a null score."""
     checked = integrity(requests)
     diverse = vectors.diversity(bank, KEYS, "vector_id", "embedding").select(*KEYS, "diversity")
     routed = checked.join(diverse, KEYS, "left")
@@ -40,17 +41,22 @@ def score_submissions(requests: DataFrame, bank: DataFrame, cache: DataFrame, mo
     out = exact.join(best, "request_id", "left")
     flagged = C.style_udf("stripped", "language")
     out = out.withColumn("signals", F.when(F.col("nn_score").isNotNull(), flagged)).withColumn("naming", C.naming_udf("stripped", "language"))
-    commented = F.exists(F.coalesce("signals", F.array().cast("array<struct<name:string,fired:boolean,direction:string,experimental:boolean>>")), lambda s: (s["name"] == "commented_out_code") & s["fired"])
-    c = scoring.canonicality(F.col("nn_score"), F.col("tokens"), F.col("language"), F.col("diversity"), commented, F.col("naming.descriptive"))
+    out = out.withColumn("commented", F.exists(F.coalesce("signals", F.array().cast("array<struct<name:string,fired:boolean,direction:string,experimental:boolean>>")), lambda s: (s["name"] == "commented_out_code") & s["fired"]))
+    out = out.withColumns({"line_start": F.lit(None).cast("int"), "line_end": F.lit(None).cast("int")}) if texts is None else with_matching_span(out, texts).drop("lines")
+    c = scoring.canonicality(F.col("nn_score"), F.col("tokens"), F.col("language"), F.col("diversity"), F.col("commented"), F.col("naming.descriptive"))
     out = out.withColumn("c", c)
     scored = F.col("nn_score").isNotNull()
     status = F.when(scored, F.col("c.status")).when(F.col("gate.reason") == "insufficient_tokens", "insufficient_evidence").when(F.col("gate.reason").isNotNull(), "not_scored").when(F.col("diversity") < params.LOW_DIVERSITY, "low_confidence").otherwise("vector_missing")
     reason = F.when(scored, F.col("c.reason")).when(F.col("integrity").isNotNull(), F.col("integrity")).otherwise(F.coalesce(F.col("gate.reason"), F.when(F.col("diversity") < params.LOW_DIVERSITY, F.lit("low_cluster_diversity")).otherwise("vector_missing")))
     percent = F.when(scored, scoring.display_percent_by_language(F.when(scored, vectors.display_similarity(F.col("c.score"))), F.when(scored, F.col("language")).otherwise(params.LANGUAGES[0]), anchors))
-    out = out.select("request_id", *KEYS, status.alias("status"), reason.alias("reason"), "tokens", "diversity", F.col("c.score").alias("score"), percent.alias("percent"), "exact_match", F.when(F.col("exact_match"), "exact reference match - review").alias("decision"), F.when(scored, F.col("vector_id")).alias("vector_id"), "signals", "naming")
-    none = F.lit(None).cast("int")
-    card: Column = F.when(F.col("score").isNotNull(), explain.scored_card(F.col("percent"), F.col("vector_id").isNotNull(), none, none, F.col("diversity"), F.col("status"), F.col("naming.descriptive") >= params.DESCRIPTIVE_FLOOR)).otherwise(explain.unscored_card(F.col("status"), F.col("reason")))
-    return out.withColumn("card", explain.formatted(card)).drop("naming")
+    out = out.select("request_id", *KEYS, status.alias("status"), reason.alias("reason"), "tokens", "diversity", F.col("c.score").alias("score"), percent.alias("percent"), "exact_match", F.when(F.col("exact_match"), "exact reference match - review").alias("decision"), F.when(scored, F.col("vector_id")).alias("vector_id"), "signals", "naming", "commented", "line_start", "line_end")
+    card: Column = F.when(F.col("score").isNotNull(), explain.scored_card(F.col("percent"), F.col("vector_id").isNotNull(), F.col("line_start"), F.col("line_end"), F.col("diversity"), F.col("status"), F.col("naming.descriptive") >= params.DESCRIPTIVE_FLOOR, F.col("commented"))).otherwise(explain.unscored_card(F.col("status"), F.col("reason")))
+    return out.withColumn("card", explain.formatted(card)).drop("naming", "commented", "line_start", "line_end")
+
+
+def tokenised(rows: DataFrame, code: str = "code", language: str = "language") -> DataFrame:
+    """rows with `tokens`, without those whose code has no count."""
+    return rows.withColumn("tokens", C.token_count_udf(code, language)).where(F.col("tokens").isNotNull())
 
 
 def with_matching_span(nearest: DataFrame, texts: DataFrame, code: str = "stripped") -> DataFrame:

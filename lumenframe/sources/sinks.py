@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,11 @@ def reject_identity_columns(df: DataFrame, denied: list[str]) -> DataFrame:
     if found:
         raise ValueError(f"identity columns in an output: {found}")
     return df
+
+
+def inside(path: str, root: str) -> str:
+    """path, if it is root or below it once dots are resolved; else an error."""
+    a, b = posixpath.normpath(path), posixpath.normpath(root)
+    if a != b and not a.startswith(b.rstrip("/") + "/"):
+        raise ValueError(f"{path} is outside of {root}")
+    return path

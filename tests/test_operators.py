@@ -143,6 +143,11 @@ def test_serving(spark):
     got = {r["request_id"]: r for r in score_submissions(requests, bank, cache, "m").collect()}
     assert got[1]["status"] == "scored" and got[1]["vector_id"] == 1 and got[1]["score"] == pytest.approx(1.0) and got[1]["percent"] == 100 and "100%" in got[1]["card"]
     assert [got[i]["score"] for i in (2, 3, 4, 5)] == [None] * 4
+    assert "No shared block" in got[1]["card"]
+    texts = spark.createDataFrame([("q", "PYTHON", 1, "# a\n" + stripped), ("q", "PYTHON", 0, "pass")], "question_id string, language string, vector_id int, text string")
+    lines = {r["request_id"]: r for r in score_submissions(requests, bank, cache, "m", texts=texts).collect()}
+    assert "No shared block" not in lines[1]["card"] and "Human-leaning" not in lines[1]["card"]
+    assert {i: (r["status"], r["reason"], r["percent"]) for i, r in lines.items()} == {i: (r["status"], r["reason"], r["percent"]) for i, r in got.items()}
     assert got[3]["reason"] == "missing_cluster" and got[4]["reason"] == "unsupported_language" and got[5]["reason"] == "raw_missing"
     assert [r["model"] for r in sampling.model_slots(["a", "b"], 5, spark).groupBy("model").count().where("count >= 2").orderBy("model").collect()] == ["a", "b"]
 
@@ -241,3 +246,15 @@ def test_bootstrap_of_nothing(spark):
     rows = spark.createDataFrame([], "g string, lang string, y int, s double, t double")
     out = resampling.deltas(rows, "g", "s", "t", "y", "lang", 3, 1, ["pooled", "r5"]).collect()
     assert [(r["kind"], r["mean"], r["low"]) for r in out] == [("pooled", None, None), ("r5", None, None)]
+
+
+def test_small_checks(spark):
+    assert sinks.inside("/a/b/../b/c", "/a/b") and sinks.inside("s3://k/v2", "s3://k/v2/")
+    for path in ("/a/bc", "/a/b/../c", "/a"):
+        with pytest.raises(ValueError):
+            sinks.inside(path, "/a/b")
+    assert consensus.configured({"K": "x", "L": " "}, {"one": ["K"], "two": ["K", "L"], "three": ["M"], "none": []}) == {"one": True, "two": False, "three": False, "none": True}
+    from lumenframe.plans.serving import tokenised
+
+    code = spark.createDataFrame([("x = 1", "PYTHON"), ("x = (", "PYTHON"), (None, "PYTHON")], "code string, language string")
+    assert [r["tokens"] for r in tokenised(code).collect()] == [3]
