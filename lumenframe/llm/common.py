@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lumenframe.session import lean_workers
+
 #: The characters that separate words; everything else belongs to a word.
 WORD_SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,7 +22,8 @@ BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keeps batches of long texts small on either side of the pipe to Python."""
+    """Keeps batches of long texts small on either side of the pipe to Python, and workers lean."""
+    lean_workers(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.sub(r"\D", "", spark.conf.get(key, None) or "")
     if not now or int(now) > BATCH_BYTES or int(now) <= 0:

@@ -43,6 +43,8 @@ LEAST_DEVIATION = 0.02
 #: Lengths are told apart by their log2, up to this one.
 LENGTHS = 40
 MOST_RUNS = 400_000
+#: Runs that are scored at once.
+BLOCK = 8_192
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -191,10 +193,9 @@ class Scorer:
                     runs.append(r)
                     owner.append(i)
             rows = np.zeros((len(fresh), langs + 1))
-            for lo in range(0, len(runs), 50_000):
-                part = runs[lo : lo + 50_000]
-                got, chars = self.models.score(part)
-                np.add.at(rows, owner[lo : lo + 50_000], np.column_stack([got, chars]))
+            for lo in range(0, len(runs), BLOCK):
+                got, chars = self.models.score(runs[lo : lo + BLOCK])
+                np.add.at(rows, owner[lo : lo + BLOCK], np.column_stack([got, chars]))
             self.values = np.concatenate([self.values, rows])
         for i, bag in enumerate(bags):
             if bag:

@@ -1,11 +1,13 @@
 """Operators do the whole job on inputs that meet no bound of theirs."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenframe.llm import fingerprints, langid, pieces, pii
+from lumenframe.llm import common, fingerprints, langid, pieces, pii
 
 
 def test_gibberish_of_any_length_is_rejected():
@@ -57,3 +59,30 @@ def test_next_of_far_ids_needs_no_cross_join(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().toString()
     order = [r["text"] for r in sorted(rows.collect(), key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -501), r["__tie"]))]
     assert {r["text"]: r["next_text"] for r in out.collect()} == {t: order[(k + 1) % len(order)] for k, t in enumerate(order)}
+
+
+def test_workers_give_memory_back(spark):
+    def seen(batches):
+        import os
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pa.default_memory_pool().backend_name]), pa.array([os.environ.get("MALLOC_MMAP_THRESHOLD_")])], ["pool", "threshold"])
+
+    common.bound_batches(spark)
+    got = spark.range(1).mapInArrow(seen, "pool string, threshold string").first()
+    assert (got["pool"], got["threshold"]) == ("system", str(1 << 20))
+
+
+def test_runs_are_scored_in_small_blocks():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(50_000)]
+    models = langid.Models({"aa": Counter(words[:300]), "bb": Counter(words[300:600])})
+    tracemalloc.start()
+    scores, n = langid.Scorer(models)([" ".join(words)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    each, chars = models.score(words)
+    assert np.allclose(scores[0], each.sum(axis=0)) and n[0] == chars.sum()
+    assert peak < 60e6
